@@ -5,9 +5,11 @@ from __future__ import annotations
 from .mixing import op2_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
 from .quality import ORACLE_OP9, op9_quality_rules
+from .substring_dedup import op5_suffix_array_dedup
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
