@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import op2_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
+from .packing import op8_pack_sequences
 from .quality import ORACLE_OP9, op9_quality_rules
 from .substring_dedup import op5_suffix_array_dedup
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
 }
 
