@@ -8,8 +8,10 @@ the candidates that its plain prefix would cost, and a pair needs the smaller l
 Plan: one pass over the texts deals postings of the low-hash tokens to radix buckets; tokens that only
 one document holds end there and merely fill prefixes.  Equal sets are one node from the start, so
 groups of copies never pair up.  Posting lists up to LIST nodes give pairs; nodes of longer lists are
-held against pivots, components are built, and only pairs of different components which the distances
-to a pivot (a metric) leave open are compared.  Verification counts shared shingles of whole texts.
+held against pivots, components are built, and what is left between different components is compared in
+tiles of bounded size, by the nodes' differences from their pivot.  All comparisons count shared
+shingles of whole texts.  Nodes go by 64 bits of their set: with n nodes, two share a name with a
+probability of about n * n / 2**65.
 
 Cases: null and empty texts have no shingles and no links; fewer than five words are one shingle;
 repeated rows and texts share a class and stay rows of their own; null ids are kept; an empty table
@@ -34,6 +36,8 @@ POSTED = int(0.3 * (1 << 63))
 LIST, LOCAL = 24, 64
 #: Candidates that a plain prefix may cost before one or two more matches are asked for.
 COSTS = (64, 1024)
+#: Nodes on a side of a tile.
+TILE = 128
 CHUNK_BYTES, FLUSH = 4 << 20, 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -218,18 +222,19 @@ def _verify(batches):
     """Shared and all shingles of pairs of texts; sets of texts that come again are kept for a while."""
     import pyarrow as pa
 
-    kept: dict[tuple, np.ndarray] = {}
+    kept: dict[int, np.ndarray] = {}
     for batch in batches:
         n = batch.num_rows
         got = {}
         for side in "ab":
-            names = list(zip(batch.column(f"k_{side}").to_pylist(), batch.column(f"r_{side}").to_pylist()))
+            names = batch.column(f"k_{side}").to_pylist()
             new = {x: i for i, x in enumerate(names) if x not in kept}
             sets = shingle_sets(batch.column(f"t_{side}").take(pa.array(list(new.values()), pa.int64()))) if new else []
             kept.update(zip(new, sets))
             got[side] = names
         both = np.empty(n, np.int64)
         union = np.empty(n, np.int64)
+        star, apart = batch.column("star").to_pylist(), []
         for i, (x, y) in enumerate(zip(got["a"], got["b"])):
             x, y = kept[x], kept[y]
             if len(x) > len(y):
@@ -237,13 +242,14 @@ def _verify(batches):
             at = np.searchsorted(y, x)
             both[i] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x) if len(y) else 0
             union[i] = len(x) + len(y) - both[i]
-        yield pa.RecordBatch.from_arrays([batch.column("k_a"), batch.column("k_b"), batch.column("r_a"), batch.column("r_b"), pa.array(both), pa.array(union)], names=["a", "b", "r_a", "r_b", "both", "all"])
+            apart.append(np.setxor1d(x, y, assume_unique=True).tobytes() if star[i] else None)
+        yield pa.RecordBatch.from_arrays([batch.column("k_a"), batch.column("k_b"), pa.array(both), pa.array(union), pa.array(apart, pa.binary())], names=["a", "b", "both", "all", "apart"])
         if len(kept) > 20_000:
             kept = {}
 
 
 def _prefixes(posts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tok, key, n, l): the repeated tokens of each node's prefix and the matches that it asks for."""
+    """(tok, key, n, l, alone, common): the repeated tokens of each node's prefix and the matches that it asks for."""
     per = posts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("tok") >= POSTED).alias("far"), "df", "tok"))).alias("toks"))
     d = per.join(nodes, "key")
     n, plain = F.col("n"), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1")
@@ -256,10 +262,10 @@ def _prefixes(posts: DataFrame, nodes: DataFrame) -> DataFrame:
     want = F.when(F.col("cost") <= COSTS[0], 1).when(F.col("cost") <= COSTS[1], 2).otherwise(3)
     l = F.when(enough, F.least(want, F.lit(1) + F.col("rep") - F.col("need"), F.expr(f"cast(({NUM} * n + {DEN - 1}) div {DEN} as int)"))).otherwise(1)  # noqa: E741
     d = d.select("*", l.cast("int").alias("l"))
-    return d.select("key", n, "l", F.explode(F.transform(F.slice("toks", F.lit(1), F.col("need") + F.col("l") - 1), lambda x: x["tok"])).alias("tok"))
-
-
-_FITS = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)"
+    # how central a node is: texts that others were made from have no tokens of their own and common ones besides
+    alone = F.greatest(F.lit(0), F.col("n_in") - F.col("rep")) / F.greatest(F.col("n_in"), F.lit(1))
+    common = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / F.size("toks")
+    return d.select("key", n, "l", alone.alias("alone"), common.alias("common"), F.explode(F.transform(F.slice("toks", F.lit(1), F.col("need") + F.col("l") - 1), lambda x: x["tok"])).alias("tok"))
 
 
 def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -277,50 +283,89 @@ def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     long = base.where(f"kind = {LONG}").select("tok", F.col("k1").alias("key")).join(base.where(f"kind = {SIZE}").select("tok", "df"), "tok")
     posts = base.where(f"kind = {POST}").select("tok", F.col("k1").alias("key"), "df").unionByName(long.select("tok", "key", "df").distinct())
     pre = scratch.write(_prefixes(posts, nodes), "prefixes")
-    sizes = scratch.write(pre.groupBy("tok").agg(F.count("*").alias("m"), F.min("key").alias("p1"), F.max("key").alias("p2"), F.min(F.struct(F.xxhash64("key").alias("h"), "key"))["key"].alias("p3")).where("m > 1"), "sizes")
+    sizes = scratch.write(pre.groupBy("tok").agg(F.count("*").alias("m"), F.min(F.struct("alone", -F.col("common"), "key"))["key"].alias("p1"), F.max(F.struct("common", "key"))["key"].alias("p2"), F.min("key").alias("p3")).where("m > 1"), "sizes")
 
     short = pre.join(sizes.where(f"m <= {LIST}").select("tok"), "tok").groupBy("tok").agg(F.sort_array(F.collect_list(F.struct("key", "n", "l"))).alias("x"))
     pair = lambda a, b: F.struct(a["key"].alias("a"), b["key"].alias("b"), a["n"].alias("n_a"), b["n"].alias("n_b"), F.least(a["l"], b["l"]).alias("l"))
     fits = lambda a, b: DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"])
     every = F.flatten(F.transform("x", lambda a, i: F.transform(F.filter(F.slice("x", i + 2, F.size("x")), lambda b: fits(a, b)), lambda b: pair(a, b))))
-    near = short.select(F.inline(every)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c >= l").select("a", "b")
+    near = short.select(F.inline(every)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c >= l").select("a", "b", F.lit(False).alias("star"))
 
-    in_long = pre.join(sizes.where(f"m > {LIST}"), "tok").select("tok", "key", "n", "p1", F.explode(F.array("p1", "p2", "p3")).alias("p"))
-    stars = in_long.where("p <> key").select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b")).distinct()
-    first = scratch.write(near.unionByName(stars).distinct(), "pairs")
+    # each member of a long list against two pivots: its most central node and another
+    in_long = pre.join(sizes.where(f"m > {LIST}"), "tok").select("key", "p1", "p2").distinct()
+    stars = in_long.select("key", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.lit(True).alias("star")), F.struct(F.col("p2").alias("p"), F.lit(False).alias("star")))).alias("x")).where("x.p <> key")
+    stars = stars.select(F.least("x.p", "key").alias("a"), F.greatest("x.p", "key").alias("b"), "x.star")
+    first = scratch.write(near.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
 
     wanted = pre.join(sizes.select("tok"), "tok", "left_semi").select("key").distinct()
     reps = classes.join(wanted, classes["k1"] == wanted["key"], "left_semi").select("k1", "k2", "rep")
     texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select(F.col("k1").alias("key"), "k2", "rep", "text")
     # a repeated doc_id may bring several texts: those of another class go
-    texts = scratch.write(texts.mapInArrow(_own, "key long, rep long, text string"), "texts")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        b = texts.select(F.col("key").alias("k_b"), F.col("rep").alias("r_b"), F.col("text").alias("t_b"))
-        a = texts.select(F.col("key").alias("k_a"), F.col("rep").alias("r_a"), F.col("text").alias("t_a"))
-        full = pairs.join(b, pairs["b"] == b["k_b"]).join(a, F.col("a") == a["k_a"]).select("k_a", "k_b", "r_a", "r_b", "t_a", "t_b")
-        return scratch.write(full.mapInArrow(_verify, "a long, b long, r_a long, r_b long, both long, all long"), name)
-
-    linked = f"{DEN} * both >= {NUM} * all"
-    held = verified(first, "verified")
-    links = held.where(linked)
-    comp = components(links.select("a", "b"), scratch, "first")
-    # long lists: pairs of different components, unless their distances to the list's first pivot exclude a link
-    members = pre.join(sizes.where(f"m > {LIST}").select("tok", "p1"), "tok").select("tok", "key", "n", "p1")
-    known = comp.select(F.col("node").alias("key"), "component")
-    members = members.join(known, "key", "left").select("tok", "key", "n", "p1", F.coalesce("component", "key").alias("component"))
-    dist = held.groupBy(F.col("a").alias("p1"), F.col("b").alias("key")).agg((1 - F.max("both") / F.max("all")).alias("d"))
-    dist = dist.unionByName(dist.select(F.col("key").alias("p1"), F.col("p1").alias("key"), "d"))
-    members = members.join(dist, ["p1", "key"], "left").select("tok", "key", "n", "component", F.when(F.col("key") == F.col("p1"), 0.0).otherwise(F.col("d")).alias("d"))
-    members = scratch.write(members, "members")
-    parts = members.groupBy("tok", "component").agg(F.count("*").alias("m")).groupBy("tok").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component"))["component"].alias("main")).where("parts > 1")
-    left = members.join(parts, "tok").where("component <> main").select("tok", F.col("key").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("d").alias("d_a"), "main")
-    right = members.join(parts.select("tok"), "tok", "left_semi").select("tok", F.col("key").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("d").alias("d_b"))
-    gap = 1 - NUM / DEN + 1e-9
-    rest = left.join(right, "tok").where(f"c_a <> c_b and (c_b = main or x < y) and {_FITS} and (d_a is null or d_b is null or abs(d_a - d_b) <= {gap})")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(rest, "rest").where(linked)
-    return rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("doc_id", "n", "rep"), links.unionByName(more).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"), "both", "all").distinct()
+    texts = scratch.write(texts.mapInArrow(_own, "key long, text string").dropDuplicates(["key"]), "texts")
+    b = texts.select(F.col("key").alias("k_b"), F.col("text").alias("t_b"))
+    a = texts.select(F.col("key").alias("k_a"), F.col("text").alias("t_a"))
+    full = first.join(b, first["b"] == b["k_b"]).join(a, F.col("a") == a["k_a"]).select("k_a", "k_b", "star", "t_a", "t_b")
+    held = scratch.write(full.mapInArrow(_verify, "a long, b long, both long, all long, apart binary"), "verified")
+    links = held.where(f"{DEN} * both >= {NUM} * all").select("a", "b")
+    comp = components(links, scratch, "first").select(F.col("node").alias("key"), "component")
+
+    # long lists: what is left between components of a pivot's members, in tiles of bounded size
+    apart = held.where("apart is not null").select("a", "b", "apart")
+    apart = apart.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "apart").unionByName(apart.select(F.col("b").alias("pivot"), F.col("a").alias("key"), "apart"))
+    members = in_long.select(F.col("p1").alias("pivot"), "key").distinct()
+    members = members.join(apart, ["pivot", "key"], "left").where("apart is not null or pivot = key").join(comp, "key", "left").join(nodes.select("key", "n"), "key")
+    members = scratch.write(members.select("pivot", "key", "n", F.coalesce("component", "key").alias("component"), F.coalesce("apart", F.lit(b"")).alias("apart")), "members")
+    parts = members.groupBy("pivot", "component").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main")).where("parts > 1")
+    parts = parts.select("pivot", F.col("main.component").alias("main"), F.ceil(F.col("all") / TILE).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("main.m")) / TILE).cast("int").alias("n_left"))
+    rows_ = members.join(parts, "pivot")
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tiles = rows_.where("component <> main").select("pivot", place("n_left").alias("i"), upto("n_all").alias("j"), F.lit(0).alias("side"), "key", "n", "component", "apart")
+    tiles = tiles.unionByName(rows_.select("pivot", upto("n_left").alias("i"), place("n_all").alias("j"), F.lit(1).alias("side"), "key", "n", "component", "apart"))
+    more = scratch.write(tiles.groupBy("pivot", "i", "j").applyInArrow(_tile, "a long, b long"), "rest")
+    rep = classes.groupBy(F.col("k1").alias("key")).agg(F.min("rep").alias("rep"))
+    links = links.unionByName(more).distinct()
+    links = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("r_a")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("r_b")), "b")
+    return rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("doc_id", "n", "rep"), links.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+
+
+def _tile(tile):
+    """Links between nodes of different components in a tile, as many as connect these components.
+
+    Sets are given by their difference from the pivot's; two sets differ by the difference of these.
+    """
+    import pyarrow as pa
+
+    side, key, n, comp = (tile.column(c).to_numpy() for c in ("side", "key", "n", "component"))
+    apart = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("apart")]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out, root = [], {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    if len(left) and len(right):
+        toks = np.concatenate([apart[i] for i in left])
+        who = np.repeat(np.arange(len(left)), [len(apart[i]) for i in left])
+        o = np.argsort(toks, kind="stable")
+        toks, who = toks[o], who[o]
+        size = np.array([len(apart[i]) for i in left])
+        for r in right:
+            y = apart[r]
+            lo, hi = np.searchsorted(toks, y), np.searchsorted(toks, y, "right")
+            m = hi - lo
+            at = np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            differ = size + len(y) - 2 * np.bincount(who[at], minlength=len(left))
+            both = (n[left].astype(np.int64) + int(n[r]) - differ) // 2
+            fit = DEN * both >= NUM * (n[left] + int(n[r]) - both)
+            for i in left[fit & (comp[left] != comp[r])]:
+                a, b = find(int(comp[i])), find(int(comp[r]))
+                if a != b:
+                    root[a] = b
+                    out.append((int(key[i]), int(key[r])))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def _own(batches):
@@ -330,7 +375,7 @@ def _own(batches):
     for batch in batches:
         keys = [set_key(s) for s in shingle_sets(batch.column("text"))]
         keep = [k == w for k, w in zip(keys, zip(batch.column("key").to_pylist(), batch.column("k2").to_pylist()))]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["key", "rep", "text"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["key", "text"])
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
