@@ -7,8 +7,10 @@ from .ngram_join import op7_ngram_jaccard_join
 from .packing import op8_pack_sequences
 from .quality import ORACLE_OP9, op9_quality_rules
 from .substring_dedup import op5_suffix_array_dedup
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
