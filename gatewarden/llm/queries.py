@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op4_fingerprints
+from .html_text import op6_html_extraction
 from .mixing import op2_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op8_pack_sequences
@@ -12,7 +14,9 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
+    "op4_fingerprints": op4_fingerprints,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
