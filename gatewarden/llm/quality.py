@@ -88,6 +88,16 @@ def passes(policy="v1", bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(POLICIES.get(policy, policy)))) == 0
 
 
+def kept(led: DataFrame, policy="v1") -> DataFrame:
+    """Rows of a ledger that a policy keeps.
+
+    The optimizer would push the condition below the steps of the ledger and repeat each in the next;
+    a column that is not deterministic keeps it above them.
+    """
+    barrier = led.select("*", F.spark_partition_id().alias("_barrier"))
+    return barrier.where(passes(policy) & (F.col("_barrier") >= 0)).drop("_barrier")
+
+
 def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of a policy: documents it fails, fails alone, and that would be kept without it."""
     m = mask(POLICIES[policy])
