@@ -23,11 +23,13 @@ def default_path() -> str:
 class WordTokenizer:
     """Little-endian 32-bit ids of texts under a ``tokenizers`` file whose pre-tokenizer drops white space."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        # plain: the strings of special tokens are ordinary text, so that no text yields their ids
+        self.tokenizer.encode_special_tokens = plain
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
