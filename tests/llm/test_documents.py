@@ -144,7 +144,7 @@ def check_fingerprints(df, rows, better):
     for i, (d, t) in enumerate(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
         q = len(t) // 4
-        want.append((d or -1, len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()))
+        want.append((-1 if d is None else d, len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()))
     got = df.collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
     assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
