@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,6 +29,8 @@ MOST_TOXIC, MOST_CLEAN = 2000, 4000
 #: Shortest whole word that is also met within one edit; lengths of stems; words of context on each side.
 FUZZY_FROM, STEMS, AROUND = 6, range(4, 9), 6
 KEPT_WORDS = 500_000
+#: Most words and most stems that training adds, the most frequent.
+MOST_TERMS = 200
 #: A lexicon to start from; training adds to it.
 BASE = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting")
 QUOTES = re.compile("[\"“”„«»]")
@@ -133,6 +136,22 @@ class Scanner:
         return [math.log1p(counts[1]), math.log1p(counts[2]), math.log1p(counts[3]), math.log1p(quoted), math.log1p(crowd), math.log1p(100 * sum(counts) / len(words))]
 
 
+def originals(texts: list[str]) -> list[int]:
+    """Places of texts that are no near copies of earlier ones: copies of one text would vouch for its every word.
+
+    Texts that share three of the eight least word hashes count as copies.
+    """
+    held, kept = {}, []
+    for i, text in enumerate(texts):
+        least = sorted({zlib.crc32(w.encode()) for w in (text or "").lower().split()})[:8]
+        common = Counter(j for h in least for j in held.get(h, ()))
+        if not common or max(common.values()) < 3:
+            kept.append(i)
+            for h in least:
+                held.setdefault(h, []).append(i)
+    return kept
+
+
 def learn_terms(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
     """Words and stems that toxic texts hold far more often than clean ones; the widest clean stems first."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
@@ -143,7 +162,7 @@ def learn_terms(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[st
         stems[y].update({w[:k] for w in ws for k in STEMS if len(w) > k})
     odds = lambda c, t: (c[1][t] / n1) / ((c[0][t] + 0.5) / n0)
     least = max(5, n1 // 80)
-    found = [w for w, c in words[1].items() if c >= least and odds(words, w) >= 20]
+    found = [w for w, c in words[1].most_common() if c >= least and odds(words, w) >= 20][:MOST_TERMS]
     stems1 = [s for s, c in stems[1].items() if c >= 2 * least and odds(stems, s) >= 20]
     stems1.sort(key=lambda s: (-stems[1][s], len(s), s))
     kept: list[str] = []
@@ -152,6 +171,7 @@ def learn_terms(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[st
         inner = max((words[1][w] for w in found if w.startswith(s)), default=0)
         if inner < 0.7 * stems[1][s] and not any(s.startswith(k) or k.startswith(s) for k in kept):
             kept.append(s)
+    kept = kept[:MOST_TERMS]
     return sorted(w for w in found if not any(w.startswith(k) for k in kept)), sorted(kept)
 
 
@@ -187,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     if y.sum() < 10 or (1 - y).sum() < 10:
         return sorted(BASE), [], DEFAULT
     texts = [r["text"] for r in rows]
-    words, stems = learn_terms(texts, y)
+    own = originals(texts)
+    words, stems = learn_terms([texts[i] for i in own], y[own])
     words = sorted({*words, *BASE})
     scan = Scanner(words, stems)
     x = np.array([scan.features(t) for t in texts])
