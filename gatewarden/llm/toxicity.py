@@ -31,6 +31,8 @@ FUZZY_FROM, STEMS, AROUND = 6, range(4, 9), 6
 KEPT_WORDS = 500_000
 #: Most words and most stems that training adds, the most frequent.
 MOST_TERMS = 200
+#: How many times more often toxic texts must hold a term than clean ones.
+LIFT = 12
 #: A lexicon to start from; training adds to it.
 BASE = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting")
 QUOTES = re.compile("[\"“”„«»]")
@@ -139,11 +141,12 @@ class Scanner:
 def originals(texts: list[str]) -> list[int]:
     """Places of texts that are no near copies of earlier ones: copies of one text would vouch for its every word.
 
-    Texts that share three of the eight least word hashes count as copies.
+    Texts that share three of their eight least hashes of word pairs count as copies.
     """
     held, kept = {}, []
     for i, text in enumerate(texts):
-        least = sorted({zlib.crc32(w.encode()) for w in (text or "").lower().split()})[:8]
+        words = (text or "").lower().split()
+        least = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])})[:8]
         common = Counter(j for h in least for j in held.get(h, ()))
         if not common or max(common.values()) < 3:
             kept.append(i)
@@ -162,8 +165,8 @@ def learn_terms(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[st
         stems[y].update({w[:k] for w in ws for k in STEMS if len(w) > k})
     odds = lambda c, t: (c[1][t] / n1) / ((c[0][t] + 0.5) / n0)
     least = max(5, n1 // 80)
-    found = [w for w, c in words[1].most_common() if c >= least and odds(words, w) >= 20][:MOST_TERMS]
-    stems1 = [s for s, c in stems[1].items() if c >= 2 * least and odds(stems, s) >= 20]
+    found = [w for w, c in words[1].most_common() if c >= least and odds(words, w) >= LIFT][:MOST_TERMS]
+    stems1 = [s for s, c in stems[1].items() if c >= 2 * least and odds(stems, s) >= LIFT]
     stems1.sort(key=lambda s: (-stems[1][s], len(s), s))
     kept: list[str] = []
     for s in stems1:
