@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
+from .substring_dedup import small_batches
 
 WINDOW, BLOCK, END_ID = 4096, 512, 2
 #: Ranges of due times in which blocks are ranked.
@@ -32,9 +33,9 @@ def _pieces(path: str | None, block: int, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import WordTokenizer
+        from .tokens import tokenizer
 
-        pid, tok, fill = TaskContext.get().partitionId(), WordTokenizer(path), {}
+        pid, tok, fill = TaskContext.get().partitionId(), tokenizer(path), {}
         end = end_id.to_bytes(4, "little")
         types = [pa.int32(), pa.string()] + [pa.int64()] * 7
         names = [c.split()[0] for c in _PIECE.split(", ")]
@@ -59,7 +60,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-    pieces = scratch.write(docs.mapInArrow(_pieces(tokenizer_path, block, end_id), _PIECE), "pieces")
+    with small_batches(spark):
+        pieces = scratch.write(docs.mapInArrow(_pieces(tokenizer_path, block, end_id), _PIECE), "pieces")
     blocks = pieces.groupBy("pid", "source", "block").agg(F.sum("length").alias("n"))
     # number of a full block in its source's queue: queues of partitions follow each other
     per = blocks.where(f"n = {block}").groupBy("pid", "source").agg(F.count("*").alias("full"))

@@ -31,9 +31,9 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer_path: str | None =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import WordTokenizer
+        from .tokens import tokenizer
 
-        pid, tok, end = TaskContext.get().partitionId(), WordTokenizer(tokenizer_path, plain=True), np.array([end_id], "<u4").tobytes()
+        pid, tok, end = TaskContext.get().partitionId(), tokenizer(tokenizer_path, plain=True), np.array([end_id], "<u4").tobytes()
         names = ["file", "block", "ids", "ordinal", "doc_id"]
         types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         rest, n_block, n_doc = b"", 0, 0
