@@ -38,10 +38,15 @@ def _texts(rules, text=None):
     return lambda s, d: guard_events(text_events(s, d, text() if text else None), rules).events.select("stream_id", "text")
 
 
-def _synthetic():
-    """Texts with every kind of built-in secret, from the id."""
+#: Characters of a text that follow the secrets where the SQL twin shows the text itself: the twin is given.
+HEAD = 200
+
+
+def _synthetic(most: int | None = None):
+    """Texts with every kind of built-in secret, from the id, before the whole text or its first ``most`` characters."""
+    text = F.col("text") if most is None else F.substring("text", 1, most)
     i = F.lpad(F.col("doc_id").cast("string"), 10, "0")
-    return F.concat(F.lit("key sk-test-"), i, F.lit(" Bearer tok"), i, F.lit(" ghp_"), i, i, F.lit(" github_pat_"), i, i, F.lit(" AKIA"), i, F.lit("ABCDEF eyJa"), i, F.lit(".eyJb."), i, F.lit(" end\n"), F.substring("text", 1, 200))
+    return F.concat(F.lit("key sk-test-"), i, F.lit(" Bearer tok"), i, F.lit(" ghp_"), i, i, F.lit(" github_pat_"), i, i, F.lit(" AKIA"), i, F.lit("ABCDEF eyJa"), i, F.lit(".eyJb."), i, F.lit(" end\n"), text)
 
 
 def _pipeline(mode):
@@ -82,7 +87,7 @@ def agent_loop(s, d) -> DataFrame:
 
 def _bytes(secrets, errors):
     def run(s, d):
-        docs = table(s, d, "documents").select("doc_id", F.concat(F.lit('{"message": "failed at /srv", "n": 1}\n'), _synthetic()).alias("text"))
+        docs = table(s, d, "documents").select("doc_id", F.concat(F.lit('{"message": "failed at /srv", "n": 1}\n'), _synthetic(HEAD)).alias("text"))
         body = reassemble(chunked(docs, "text", "doc_id", 37))
         return guard_bytes(body, secrets, errors).select("stream_id", F.decode("body", "UTF-8").alias("body"))
 
@@ -157,7 +162,7 @@ def stream_bytes(s, d) -> DataFrame:
     from .streaming.guard import guard_byte_stream, run_available
 
     tmp = tempfile.mkdtemp() if s.sparkContext.master.startswith("local[") else s.conf.get("spark.checkpoint.dir") + "/stream"
-    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("x "), _synthetic()).alias("text"))
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("x "), _synthetic(HEAD)).alias("text"))
     c = chunked(docs, "text", "doc_id", 37)
     last = F.lead("chunk_index").over(Window.partitionBy("stream_id").orderBy("chunk_index")).isNull()
     c.select("*", last.alias("is_last")).write.mode("overwrite").parquet(f"{tmp}/in")
@@ -182,7 +187,7 @@ QUERIES = {
     "redact_pii_phone": _texts([R.redact_pii(phone=True)]),
     "redact_pii_both": _texts([R.redact_pii(True, True)]),
     "redact_counts": redact_counts,
-    "redact_secrets_builtin": _texts([R.redact_secrets()], _synthetic),
+    "redact_secrets_builtin": _texts([R.redact_secrets()], lambda: _synthetic(HEAD)),
     "redact_secrets_custom_pattern": _texts([R.redact_secrets((HEX_TOKEN,))]),
     "redact_placeholder": _texts([R.redact_secrets((HEX_TOKEN,), "<$1\\>")]),
     "redact_idempotent": redact_idempotent,
