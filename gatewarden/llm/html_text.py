@@ -1,8 +1,10 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their blocks; pages vote for the generalised tag and
-class paths of their best containers, and the votes of a host are summed in Spark.  A second pass takes
-the blocks below the host's winning path, or below the page's own best container where it has none.
+Every container of a page, up to the outermost, is scored by the text of all blocks below it, less a multiple of
+what reads like boilerplate there; pages vote for the generalised tag and class paths of their containers, and
+the votes of a host are summed in Spark.  So a path is left for a wider one where the further blocks are text,
+and kept where they are boilerplate.  A second pass takes the blocks below the host's winning path, or below the
+page's own best container where it has none.
 
 Cases: null or empty html gives an empty text; null urls share one host; repeated rows are pages of
 their own; null ids are kept; broken markup (unclosed or stray tags) is read as it comes; an empty
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from .shared import Scratch, table
 from .substring_dedup import small_batches
 
-#: Paths a page votes for; hosts whose winners may be broadcast (each a short path).
-VOTES, MOST_BROADCAST = 3, 20_000
+#: Hosts whose winners may be broadcast (each a short path).
+MOST_BROADCAST = 20_000
+#: Characters of text that one of boilerplate outweighs; shortest text that counts without a paragraph or a sentence.
+WEIGHT, SHORT = 3, 40
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -29,7 +33,9 @@ _TOKEN = re.compile(
 )
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ONE_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:until-found|false))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAYBE_HIDDEN = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul head".split()
@@ -46,6 +52,10 @@ _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 _WS = re.compile(r"\s+")
 _CONTAINERS = frozenset("html body main article section div td blockquote center".split())
+#: Elements whose text counts however short it is.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th caption figcaption address summary".split())
+_SENTENCE = re.compile(r"[.!?…:;][\"'”»’)]*$")
+_NOTICE = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
 
 def marked(attributes: str) -> bool:
@@ -58,6 +68,17 @@ def marked(attributes: str) -> bool:
     return False
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an attribute hides the element; names that merely contain the word do not."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value not in ("until-found", "false") or name == "aria-hidden" and value == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def step_name(tag: str, attributes: str) -> str:
     """Tag and classes of an element; numbers in names become one sign."""
     m = _ONE_CLASS.search(attributes) if attributes else None
@@ -135,7 +156,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, str]]:
         if tag == "body":
             pop(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
         inside = any(s[0] in ("article", "main") for s in stack)
-        other = tag in BOILER and not (tag == "header" and inside) and tag != "fieldset" or bool(m[4]) and tag not in ("html", "body", "article", "main") and (marked(m[4]) or bool(_HIDDEN.search(m[4])))
+        other = tag in BOILER and not (tag == "header" and inside) and tag != "fieldset" or bool(m[4]) and tag not in ("html", "body", "article", "main") and (marked(m[4]) or hidden(m[4]))
         stack.append((tag, step_name(tag, m[4]), int(other)))
         dead += int(other)
     if at < len(html) and not dead:
@@ -144,15 +165,34 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, str]]:
     return out
 
 
-def containers(found) -> dict[tuple[str, ...], float]:
-    """Score of each container: the text of its own blocks outside links, and half of what lies one deeper."""
-    scores: dict[tuple[str, ...], float] = {}
-    for path, t, links, _ in found:
-        value = max(0.0, len(t) - 2.0 * links)
-        depth = [i for i in range(len(path), 0, -1) if path[i - 1].split(".")[0] in _CONTAINERS]
-        for k, i in enumerate(depth[:3]):
-            scores[path[:i]] = scores.get(path[:i], 0.0) + value * 0.5**k
-    return scores
+def worth(text: str, links: int, tag: str) -> float:
+    """Characters of a block outside links; boilerplate counts against its container."""
+    if 2 * links > len(text) or _NOTICE.search(text) or (tag not in _PROSE and len(text) < SHORT and not _SENTENCE.search(text)):
+        return -float(WEIGHT * len(text))
+    return len(text) - 2.0 * links
+
+
+def containers(found) -> tuple[dict[str, float], float]:
+    """Score of each container's path: what all blocks below it are worth, and the sum of what is text."""
+    root: list = [0.0, {}]  # value of the blocks that end here, children by step
+    total = 0.0
+    for path, t, links, tag in found:
+        node, value = root, worth(t, links, tag)
+        for step in path:
+            child = node[1].get(step)
+            if child is None:
+                child = node[1][step] = [0.0, {}]
+            node = child
+        node[0] += value
+        total += max(0.0, value)
+    order = [(root, None, "")]
+    for node, _, name in order:
+        order.extend((child, node, f"{name}>{step}" if name else step) for step, child in node[1].items())
+    for node, parent, _ in reversed(order):
+        if parent is not None:
+            parent[0] += node[0]
+    # the root stands for texts without a common container
+    return {name: node[0] for node, _, name in order if not name or name.rpartition(">")[2].split(".")[0] in _CONTAINERS}, total
 
 
 def host_of(url: str | None) -> str:
@@ -166,13 +206,11 @@ def _vote(batches):
     for batch in batches:
         votes: dict[tuple[str, str], float] = {}
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            scores = containers(blocks(html or ""))
-            total = sum(scores.values())
+            scores, total = containers(blocks(html or ""))
             if total > 0:
                 host = host_of(url)
-                for path, v in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:VOTES]:
-                    key = host, ">".join(path)
-                    votes[key] = votes.get(key, 0.0) + v / total
+                for path, v in scores.items():
+                    votes[host, path] = votes.get((host, path), 0.0) + v / total
         rows = [(h, p, v) for (h, p), v in votes.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, [pa.string(), pa.string(), pa.float64()])], names=["host", "path", "votes"])
 
@@ -183,10 +221,10 @@ def main_text(html: str | None, winner: str | None = None) -> str:
     want = tuple(winner.split(">")) if winner else ()
     chosen = [b for b in found if b[0][: len(want)] == want] if want else []
     if not chosen:
-        scores = containers(found)
-        if not scores:
-            return "\n".join(t for _, t, _, _ in found)
-        best = min(scores.items(), key=lambda x: (-x[1], x[0]))[0]
+        scores, _ = containers(found)
+        # of containers of equal worth the innermost, which holds the least besides
+        name = max(scores.items(), key=lambda x: (x[1], x[0].count(">"), x[0]))[0]
+        best = tuple(name.split(">")) if name else ()
         chosen = [b for b in found if b[0][: len(best)] == best]
     return "\n".join(t for _, t, _, _ in chosen)
 
