@@ -1,10 +1,9 @@
 """SpotSigs fingerprints (built-in functions only).
 
-Every common word of a text is an anchor; it and the next two content words after it form a signature.
-The fingerprint keeps the number of distinct signatures and the KEEP least of their 32-bit hashes, a
-sample that is the same wherever a signature occurs.  Likeness is the Jaccard similarity of the sets as
-these samples show it, exact while both sets are no larger than KEEP; sets whose sizes lie more than
-MOST_RATIO apart (partitions by length) cannot be alike and are not compared.
+Every common word of a text is an anchor; it and the next two content words after it form a signature,
+kept as a 64-bit hash.  Likeness is the exact Jaccard similarity of whole signature sets, whatever their
+size.  The fingerprint column only names a set for the eye: the number of distinct signatures and the KEEP
+least of their 32-bit hashes; nothing is compared by it.
 
 Cases: null texts are empty; texts with few signatures take word pairs as well; empty texts have an
 empty set and are alike only to each other; repeated rows and null ids are rows of their own (nulls
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-KEEP, FEW, MOST_RATIO = 64, 8, 20
+KEEP, FEW = 64, 8
 #: Consecutive ids in one range when each text is given the next one; ranges in a group of ranges.
 RANGE, GROUP = 256, 4096
 #: Common words of four languages.
@@ -36,12 +35,11 @@ ANCHORS = tuple(
 
 
 def signatures(text: Column) -> list[tuple[str, Column]]:
-    """Steps from a text to its sorted distinct signature hashes, each a column that the next one reads."""
+    """Steps from a text to its distinct signature hashes, each a column that the next one reads."""
     anchor = lambda w: w.isin(*ANCHORS)
-    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
     at = lambda c, i: F.get(F.col(c), i)
-    chain = lambda s, r: low(F.xxhash64(s["w"], at("_c", s["i"] - r), at("_c", s["i"] - r + 1)))
-    pairs = F.transform("_w", lambda w, i: low(F.xxhash64(F.lit("pair"), w, F.coalesce(at("_w", i + 1), F.lit("")))))
+    chain = lambda s, r: F.xxhash64(s["w"], at("_c", s["i"] - r), at("_c", s["i"] - r + 1))
+    pairs = F.transform("_w", lambda w, i: F.xxhash64(F.lit("pair"), w, F.coalesce(at("_w", i + 1), F.lit(""))))
     return [
         ("_w", F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")),
         ("_c", F.filter("_w", lambda w: ~anchor(w))),
@@ -52,11 +50,12 @@ def signatures(text: Column) -> list[tuple[str, Column]]:
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with a struct ``out``: n signatures and the least KEEP hashes."""
+    """``df`` with a struct ``out``: n signatures, all their hashes, and the least KEEP of these cut to 32 bits."""
     kept = list(df.columns)
     for name, c in signatures(F.col(text)):
         df = df.select("*", c.alias(name))
-    return df.select(*kept, F.struct(F.size("_s2").alias("n"), F.slice(F.sort_array("_s2"), 1, KEEP).alias("least")).alias(out))
+    least = F.slice(F.sort_array(F.array_distinct(F.transform("_s2", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))), 1, KEEP)
+    return df.select(*kept, F.struct(F.size("_s2").alias("n"), F.col("_s2").alias("all"), least.alias("least")).alias(out))
 
 
 def as_text(fp: Column) -> Column:
@@ -64,13 +63,8 @@ def as_text(fp: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    union = F.slice(F.sort_array(F.array_union(a["least"], b["least"])), 1, KEEP)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a["least"]), b["least"]))
-    return (
-        F.when((a["n"] == 0) & (b["n"] == 0), 1.0)
-        .when(F.greatest(a["n"], b["n"]) > MOST_RATIO * F.least(a["n"], b["n"]), 0.0)
-        .otherwise(shared / F.greatest(F.size(union), F.lit(1)))
-    )
+    shared = F.size(F.array_intersect(a["all"], b["all"]))
+    return F.when((a["n"] == 0) & (b["n"] == 0), 1.0).otherwise(shared / F.greatest(a["n"] + b["n"] - shared, F.lit(1)))
 
 
 def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
@@ -101,13 +95,14 @@ def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = fingerprinted(d, "text", "fp")
-    d = with_next(d, ["doc_id", "text", "fp"])
+    # texts travel alone: whole signature sets are made where they are compared
+    d = with_next(d, ["doc_id", "text"])
     n = F.char_length("text")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring(F.col("next")["text"], F.lit(1), q))
-    d = d.select("doc_id", "fp", F.col("next")["fp"].alias("next_fp"), n.cast("long").alias("n_chars"), edited.alias("edited"))
-    d = fingerprinted(d, "edited", "edited_fp")
+    d = d.select("doc_id", "text", F.col("next")["text"].alias("next_text"), n.cast("long").alias("n_chars"), edited.alias("edited"))
+    for text, fp in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
+        d = fingerprinted(d, text, fp)
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

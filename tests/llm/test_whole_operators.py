@@ -1,8 +1,10 @@
 """Operators do the whole of their job: what an earlier round cut short."""
 
+import random
+
 import pytest
 
-from gatewarden.llm import html_text
+from gatewarden.llm import fingerprints, html_text
 
 
 def page(body):
@@ -34,3 +36,28 @@ def test_hidden_is_an_attribute_name():
         assert not html_text.hidden(shown)
     for gone in (" hidden", ' hidden=""', ' class="x" HIDDEN', ' style="display: none"', " aria-hidden=true"):
         assert html_text.hidden(gone)
+
+
+def test_likeness_is_exact_for_whole_sets(spark):
+    r = random.Random(2)
+    words = lambda n: " ".join(f"the w{r.randrange(10**6)} x{r.randrange(10**6)}" for _ in range(n))
+    a = [words(1) for _ in range(600)]
+    b = [*a[:590], *(words(1) for _ in range(10))]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[:20])), (4, "")]
+
+    def signatures(t):
+        w = t.split()
+        c = [x for x in w if x != "the"] + [None, None]
+        out, before = set(), 0
+        for i, x in enumerate(w):
+            if x == "the":
+                k = i - before
+                out.add((x, c[k] if k < len(c) else None, c[k + 1] if k + 1 < len(c) else None))
+                before += 1
+        return out
+
+    got = {x["doc_id"]: x["near_next"] for x in fingerprints.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (d, t) in enumerate(rows):
+        x, y = signatures(t), signatures(rows[(i + 1) % 4][1])
+        assert got[d] == pytest.approx(len(x & y) / len(x | y)), d
+    assert 0.9 < got[1] < 1 and 0 < got[2] < 0.05
