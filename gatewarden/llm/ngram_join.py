@@ -269,7 +269,7 @@ def _prefixes(posts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(docs, links): each row's shingle count and class (its smallest doc_id), and verified links between classes.
+    """(docs, links): each row's shingle count and class (k1, k2), and verified links between the names (k1) of classes.
 
     Links are complete up to connectivity: classes that other links already connect may lack one.
     """
@@ -299,9 +299,13 @@ def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 
     wanted = pre.join(sizes.select("tok"), "tok", "left_semi").select("key").distinct()
     reps = classes.join(wanted, classes["k1"] == wanted["key"], "left_semi").select("k1", "k2", "rep")
-    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select(F.col("k1").alias("key"), "k2", "rep", "text")
+    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select(F.col("k1").alias("key"), "k2", "text")
     # a repeated doc_id may bring several texts: those of another class go
-    texts = scratch.write(texts.mapInArrow(_own, "key long, text string").dropDuplicates(["key"]), "texts")
+    texts = texts.mapInArrow(_own, "key long, text string")
+    # classes without any id are found by their key
+    unnamed = docs.where("doc_id is null").mapInArrow(_keyed, "key long, k2 long, text string")
+    unnamed = unnamed.join(reps.where("rep is null").select(F.col("k1").alias("key"), "k2"), ["key", "k2"], "left_semi").select("key", "text")
+    texts = scratch.write(texts.unionByName(unnamed).dropDuplicates(["key"]), "texts")
     b = texts.select(F.col("key").alias("k_b"), F.col("text").alias("t_b"))
     a = texts.select(F.col("key").alias("k_a"), F.col("text").alias("t_a"))
     full = first.join(b, first["b"] == b["k_b"]).join(a, F.col("a") == a["k_a"]).select("k_a", "k_b", "star", "t_a", "t_b")
@@ -323,10 +327,7 @@ def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     tiles = rows_.where("component <> main").select("pivot", place("n_left").alias("i"), upto("n_all").alias("j"), F.lit(0).alias("side"), "key", "n", "component", "apart")
     tiles = tiles.unionByName(rows_.select("pivot", upto("n_left").alias("i"), place("n_all").alias("j"), F.lit(1).alias("side"), "key", "n", "component", "apart"))
     more = scratch.write(tiles.groupBy("pivot", "i", "j").applyInArrow(_tile, "a long, b long"), "rest")
-    rep = classes.groupBy(F.col("k1").alias("key")).agg(F.min("rep").alias("rep"))
-    links = links.unionByName(more).distinct()
-    links = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("r_a")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("r_b")), "b")
-    return rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("doc_id", "n", "rep"), links.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    return rows, links.unionByName(more).distinct()
 
 
 def _tile(tile):
@@ -378,6 +379,15 @@ def _own(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["key", "text"])
 
 
+def _keyed(batches):
+    """Texts with the key of their class."""
+    import pyarrow as pa
+
+    for batch in batches:
+        keys = [set_key(s) for s in shingle_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column("text")], names=["key", "k2", "text"])
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
@@ -389,8 +399,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         comp = components(links.select("a", "b"), scratch, "last")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    out = rows.join(comp, rows["rep"] == comp["node"], "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    # components are sets of classes; each goes by the smallest id that any of its rows has, rows without shingles by their own
+    sets = rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("low")).join(comp.select(F.col("node").alias("k1"), "component"), "k1", "left")
+    sets = scratch.write(sets.select("k1", "low", F.coalesce("component", "k1").alias("component")), "sets")
+    least = sets.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = sets.join(least, "component").select(F.col("k1").alias("_k"), "component_id")
+    out = rows.join(named, (rows["k1"] == named["_k"]) & (rows["n"] > 0), "left")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return scratch.write(out, "out")
 
 
