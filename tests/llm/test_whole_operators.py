@@ -33,9 +33,9 @@ def test_split_and_deeply_nested_article(spark):
 
 def test_hidden_is_an_attribute_name():
     for shown in (' class="overflow-hidden"', ' data-x="hidden"', ' style="overflow: hidden"', ' hidden="until-found"', ' aria-hidden="false"'):
-        assert not html_text.hidden(shown)
+        assert not html_text.hidden(html_text.attributes(shown))
     for gone in (" hidden", ' hidden=""', ' class="x" HIDDEN', ' style="display: none"', " aria-hidden=true"):
-        assert html_text.hidden(gone)
+        assert html_text.hidden(html_text.attributes(gone))
 
 
 def test_likeness_is_exact_for_whole_sets(spark):
