@@ -29,7 +29,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, salted, table
 from .substring_dedup import small_batches
 
 #: Hosts whose winners may be broadcast (16 bytes each); beyond, pages meet them in this many shares of a host.
@@ -326,8 +326,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if winners.count() <= MOST_BROADCAST:
             joined = pages.join(F.broadcast(winners), "host", "left")
         else:  # pages of one host meet its winner in several tasks
-            share = F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES))
-            joined = pages.select("*", share.alias("share")).join(winners.select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).cast("long").alias("share")), ["host", "share"], "left")
+            joined = salted(pages, winners, "host", "page_id", SHARES, "left")
         out = scratch.write(joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string"), "out")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 

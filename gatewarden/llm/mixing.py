@@ -6,8 +6,8 @@ equally many words that it takes from the source's shuffled documents; after the
 starts again.  The last slot of a source takes only what its target leaves.
 
 Cases: null texts have size 0 and are never taken (taken = 0); a null source is a source of its own,
-ordered last; repeated rows are documents of their own; empty tables give no rows; only doc_id, text
-and source are read.
+ordered last; repeated rows are documents of their own; where no text has a word, all targets are 0;
+empty tables give no rows; only doc_id, text and source are read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ RANGES, CHUNK = 1 << 14, 1 << 14
 
 def sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,13 +54,14 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, most: floa
 def _offsets(rows: DataFrame, size: str) -> DataFrame:
     """Start of each row in its source's shuffled order: sums of hash ranges first, then within a range."""
     h = F.xxhash64(F.col("doc_id"), F.lit(17))
+    # rows that agree in all of this are the same text: which of them comes first makes no difference
     rows = rows.where(F.col(size) > 0).select("*", h.alias("_h"), F.shiftrightunsigned(h, 64 - RANGES.bit_length() + 1).alias("_r"))
-    in_range = Window.partitionBy("source", "_r").orderBy("_h", "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("source", "_r").orderBy("_h", "doc_id", size, "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("source", "_r").agg(F.sum(size).alias("_n")).select("source", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     rows = rows.select("*", F.coalesce(F.sum(size).over(in_range), F.lit(0)).alias("_in"))
     same = rows["source"].eqNullSafe(base["source"]) & (rows["_r"] == base["_r"])
-    return rows.join(base, same).select(rows["doc_id"], rows["source"], rows[size], (F.col("_base") + F.col("_in")).alias("start"))
+    return rows.join(base, same).select(rows["doc_id"], rows["source"], rows[size], "text_hash", (F.col("_base") + F.col("_in")).alias("start"))
 
 
 def _point(slot: Column) -> Column:
@@ -83,15 +84,16 @@ def schedule(spark, plan: DataFrame, block: Column, n_slots: int) -> DataFrame:
 
 
 def mix_rows(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, most: float = 2.0):
-    """(pieces, plan): pieces (slot, source, rank, doc_id, size, doc_start, start, length) of the mix, and the sources' targets."""
+    """(pieces, plan): pieces (slot, source, rank, doc_id, text_hash, size, doc_start, start, length) of the mix, and the sources' targets."""
     spark = sizes.sparkSession
     scratch = Scratch(spark, "mix")
     plan = targets(sizes, weights, budget, most)
     up = Window.orderBy(F.col("source").asc_nulls_last())
     total = F.sum("target").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     plan = plan.select("*", total.alias("total"), F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_sources"))
-    hi = F.sum("target").over(up.rowsBetween(Window.unboundedPreceding, 0)) / F.col("total")
-    plan = plan.select("*", hi.alias("hi"), F.coalesce(F.sum("target").over(up.rowsBetween(Window.unboundedPreceding, -1)) / F.col("total"), F.lit(0.0)).alias("lo"))
+    # texts without any word leave nothing to share: no interval holds a point then
+    part = lambda rows: F.coalesce(F.try_divide(F.sum("target").over(rows), F.col("total")), F.lit(0.0))
+    plan = plan.select("*", part(up.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"), part(up.rowsBetween(Window.unboundedPreceding, -1)).alias("lo"))
     # small corpora take smaller blocks, so that every source still gets many slots
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("total") / F.col("n_sources") / 64))).cast("long")
     plan = scratch.write(plan.select("*", block.alias("block"), F.round("target").cast("long").alias("quota")), "plan")
@@ -110,27 +112,27 @@ def mix_rows(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, most: flo
     short = short.where("_n < _full").select(F.lit(None).cast("long").alias("slot"), "source", F.explode(F.sequence(F.col("_n"), F.col("_full") - 1)).alias("rank"), "quota", "source_size")
     taken = hits.unionByName(short).select("slot", "source", "rank", "quota", "source_size", starts.cast("long").alias("from"), F.pmod(F.col("rank"), n_blocks).cast("long").alias("b"), F.least(F.lit(block_words), F.col("source_size") - F.pmod(F.col("rank"), n_blocks) * F.lit(block_words)).alias("words"))
     taken = taken.where("from < quota").select("slot", F.col("source").alias("_s"), "rank", F.col("b").alias("_b"), F.least(F.col("words"), F.col("quota") - F.col("from")).cast("long").alias("take"))
-    cut = _offsets(sizes, "size").select("doc_id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("b"))
-    cut = cut.select("doc_id", "source", "size", F.col("start").alias("doc_start"), "b", F.greatest("start", F.col("b") * block_words).alias("p0"), F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block_words).alias("p1"))
+    cut = _offsets(sizes, "size").select("doc_id", "source", "size", "text_hash", "start", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("b"))
+    cut = cut.select("doc_id", "source", "size", "text_hash", F.col("start").alias("doc_start"), "b", F.greatest("start", F.col("b") * block_words).alias("p0"), F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block_words).alias("p1"))
     joined = taken.join(cut, (taken["_b"] == cut["b"]) & taken["_s"].eqNullSafe(cut["source"]))
     end = F.least(F.col("p1"), F.col("b") * block_words + F.col("take"))
-    pieces = joined.where(F.col("p0") < end).select("slot", "source", "rank", "doc_id", "size", "doc_start", (F.col("p0") - F.col("doc_start")).alias("start"), (end - F.col("p0")).alias("length"))
+    pieces = joined.where(F.col("p0") < end).select("slot", "source", "rank", "doc_id", "text_hash", "size", "doc_start", (F.col("p0") - F.col("doc_start")).alias("start"), (end - F.col("p0")).alias("length"))
     return pieces, plan
 
 
 def mixed(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per document: size, source_size, target of its source, and the words that the mix takes of it."""
+    """Per document: size, text_hash, source_size, target of its source, and the words that the mix takes of it."""
     scratch = Scratch(docs.sparkSession, "mixed")
     sizes = scratch.write(sized(docs), "sizes")
     pieces, plan = mix_rows(sizes, weights, budget, most)
     # a document's place among its source's words tells repeated rows apart
-    rest = sizes.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
-    place = _offsets(sizes, "size").select("doc_id", "source", "size", F.col("start").alias("doc_start"))
-    whole = place.select("doc_id", "source", "size", "doc_start", F.lit(0).cast("long").alias("taken"))
-    took = pieces.select("doc_id", "source", "size", "doc_start", F.col("length").alias("taken")).unionByName(whole).groupBy("doc_id", "source", "size", "doc_start").agg(F.sum("taken").alias("taken")).drop("doc_start")
+    key = ["doc_id", "source", "size", "text_hash"]
+    rest = sizes.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
+    whole = _offsets(sizes, "size").select(*key, F.col("start").alias("doc_start"), F.lit(0).cast("long").alias("taken"))
+    took = pieces.select(*key, "doc_start", F.col("length").alias("taken")).unionByName(whole).groupBy(*key, "doc_start").agg(F.sum("taken").alias("taken")).drop("doc_start")
     known = plan.select(F.col("source").alias("_s"), "source_size", "target")
     out = took.unionByName(rest)
-    return out.join(known, out["source"].eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.join(known, out["source"].eqNullSafe(F.col("_s"))).select(*key, "source_size", "target", "taken")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import _BYTE, MIX_A, POWERS, Scratch, mix, partitions, table, text_bytes
+from .shared import _BYTE, MIX_A, POWERS, Scratch, mix, partitions, salted, table, text_bytes
 
 WORDS = 5
 #: Similarity as a fraction NUM / DEN.
@@ -110,7 +110,7 @@ def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-_DEALT = "bucket int, kind int, doc_id long, n int, n_in int, k1 long, k2 long, blob binary"
+_DEALT = "bucket int, kind int, doc_id long, text_hash long, n int, n_in int, k1 long, k2 long, blob binary"
 #: Kinds of rows: documents, postings, long local lists, their sizes.
 DOC, POST, LONG, SIZE = range(4)
 
@@ -119,7 +119,7 @@ def _deal(n_buckets: int):
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("n_in", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("blob", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("n_in", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("blob", pa.binary())])
         emit = lambda rows: pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
         toks, keys, held, seen = [], [], 0, set()
 
@@ -135,7 +135,7 @@ def _deal(n_buckets: int):
             bucket_of = lambda x: (x >> np.uint64(20)) % np.uint64(n_buckets)
             rows, long = [], size > LOCAL
             for a, m in zip(at[long], size[long]):
-                rows.append((int(bucket_of(t[a])), LONG, None, int(m), None, int(t[a]), None, k[a : a + m].tobytes()))
+                rows.append((int(bucket_of(t[a])), LONG, None, None, int(m), None, int(t[a]), None, k[a : a + m].tobytes()))
             plain = ~np.repeat(long, size)
             for kind, tt, vv in ((POST, t[plain], k[plain]), (SIZE, t[at[long]], size[long].astype(np.uint64))):
                 b = bucket_of(tt)
@@ -143,16 +143,16 @@ def _deal(n_buckets: int):
                 cut = np.searchsorted(b[o], np.arange(n_buckets + 1, dtype=np.uint64))
                 for i in np.flatnonzero(np.diff(cut)):
                     part = o[cut[i] : cut[i + 1]]
-                    rows.append((int(i), kind, None, len(part), None, None, None, tt[part].tobytes() + vv[part].tobytes()))
+                    rows.append((int(i), kind, None, None, len(part), None, None, None, tt[part].tobytes() + vv[part].tobytes()))
             for i in range(0, len(rows), 512):
                 yield emit(rows[i : i + 512])
 
         for batch in batches:
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc_id, s in zip(ids, shingle_sets(batch.column("text"))):
+            ids, hashes, rows = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), []
+            for doc_id, h, s in zip(ids, hashes, shingle_sets(batch.column("text"))):
                 k1, k2 = set_key(s)
                 n_in = int(np.searchsorted(s, np.uint64(POSTED)))
-                rows.append((int(np.uint64(k1 & (2**64 - 1)) % np.uint64(n_buckets)), DOC, doc_id, len(s), n_in, k1, k2, None))
+                rows.append((int(np.uint64(k1 & (2**64 - 1)) % np.uint64(n_buckets)), DOC, doc_id, h, len(s), n_in, k1, k2, None))
                 if len(s) and k1 not in seen:
                     seen.add(k1)
                     s = s[: max(n_in, prefix_size(len(s)))]
@@ -174,7 +174,7 @@ def _count(batches):
     """Postings of tokens that at least two nodes hold, with the number of nodes; other rows as they are."""
     import pyarrow as pa
 
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("n_in", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("tok", pa.int64()), ("df", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("n_in", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("tok", pa.int64()), ("df", pa.int64())])
     none = lambda m, t: pa.nulls(m, t)
 
     def rows(kind, m, **cols):
@@ -185,7 +185,7 @@ def _count(batches):
         kinds = batch.column("kind").to_numpy()
         docs = batch.filter(pa.array(kinds == DOC))
         if docs.num_rows:
-            yield rows(DOC, docs.num_rows, **{c: docs.column(c) for c in ("doc_id", "n", "n_in", "k1", "k2")})
+            yield rows(DOC, docs.num_rows, **{c: docs.column(c) for c in ("doc_id", "text_hash", "n", "n_in", "k1", "k2")})
         for i in np.flatnonzero(kinds != DOC):
             blob = batch.column("blob")[int(i)].as_buffer()
             if kinds[i] == LONG:
@@ -269,15 +269,16 @@ def _prefixes(posts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(docs, links): each row's shingle count and class (k1, k2), and verified links between the names (k1) of classes.
+    """(docs, links): each row's text hash, shingle count and class (k1, k2), and verified links between the names (k1) of classes.
 
     Links are complete up to connectivity: classes that other links already connect may lack one.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     n_buckets = 4 * partitions(docs.sparkSession)
     dealt = docs.mapInArrow(_deal(n_buckets), _DEALT).repartition(partitions(docs.sparkSession), "bucket")
-    base = scratch.write(dealt.mapInArrow(_count, "kind int, doc_id long, n int, n_in int, k1 long, k2 long, tok long, df long"), "base")
-    rows = base.where(f"kind = {DOC}").select("doc_id", "n", "n_in", "k1", "k2")
+    base = scratch.write(dealt.mapInArrow(_count, "kind int, doc_id long, text_hash long, n int, n_in int, k1 long, k2 long, tok long, df long"), "base")
+    docs = docs.select("doc_id", "text")
+    rows = base.where(f"kind = {DOC}").select("doc_id", "text_hash", "n", "n_in", "k1", "k2")
     classes = scratch.write(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("n_in").alias("n_in")), "classes")
     nodes = classes.groupBy(F.col("k1").alias("key")).agg(F.max("n").alias("n"), F.max("n_in").alias("n_in"))
     long = base.where(f"kind = {LONG}").select("tok", F.col("k1").alias("key")).join(base.where(f"kind = {SIZE}").select("tok", "df"), "tok")
@@ -389,7 +390,8 @@ def _keyed(batches):
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row; text_hash, and group, a
+    name of the component for texts with shingles, which tells components apart where no row has an id."""
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     spark = docs.sparkSession
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -403,11 +405,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     sets = rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("low")).join(comp.select(F.col("node").alias("k1"), "component"), "k1", "left")
     sets = scratch.write(sets.select("k1", "low", F.coalesce("component", "k1").alias("component")), "sets")
     least = sets.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = sets.join(least, "component").select(F.col("k1").alias("_k"), "component_id")
+    named = salted(sets, least, "component", "k1").select(F.col("k1").alias("_k"), "component_id", F.col("component").alias("group"))
     out = rows.join(named, (rows["k1"] == named["_k"]) & (rows["n"] > 0), "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "group")
     return scratch.write(out, "out")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted(rows: DataFrame, few: DataFrame, key: str, spread: str, shares: int = 16, how: str = "inner") -> DataFrame:
+    """Join on ``key`` where rows may share one key by the million and ``few`` has one row a key: the rows of a
+    key meet it in as many tasks as there are shares."""
+    few = few.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("_share"))
+    return rows.select("*", F.pmod(F.xxhash64(spread), F.lit(shares)).alias("_share")).join(few, [key, "_share"], how).drop("_share")
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string or binary array, end to end, and the offsets of its rows (nulls are empty)."""
     import pyarrow as pa

@@ -6,25 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mixing, ngram_join, packing, quality as rules, substring_dedup
-from .shared import WORD_RE, Scratch
+from .shared import Scratch, salted
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy v1 keeps."""
+    """Documents that policy v1 keeps.
+
+    Rows are judged one by one, repeated ones and null ids too; null and empty texts have too few words and go.
+    """
     led = rules.ledger(docs, keep=COLUMNS)
     return rules.kept(led, "v1").select(*COLUMNS)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the group's smallest doc_id; rows without an id stay."""
+    """One document of each group: that of the smallest doc_id, of several texts with this id that of the least hash.
+
+    A row is known by its id and its text's hash: rows that share both are one document, and a text whose id occurs
+    with another text stays or goes by itself.  Null ids come last in a group; null and empty texts belong to none
+    and stay, one for each id.
+    """
     docs = docs.select(*COLUMNS)
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # rows that repeat a doc_id and its text are one document
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS, F.sha2("text", 256).alias("_s"))
-    return kept.dropDuplicates(["doc_id", "_s"]).select(*COLUMNS)
+    found = ngram_join.near_duplicates(docs).where("group is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = salted(found, first, "group", "text_hash").where(row != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    named = docs.select("*", F.xxhash64("text").alias("_h"))
+    kept = named.join(gone, named["doc_id"].eqNullSafe(gone["_d"]) & (named["_h"] == gone["_t"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
 
 
 def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +52,28 @@ def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes of them: whole turns, and once the first words of the part beyond them."""
+    """Documents as often as the mix takes of them: whole turns, and once the first words of the part beyond them.
+
+    Rows that share id, source and text are one document, of which the mix takes what it takes of all of them;
+    n_chars is that of the copy.  Null and empty texts are never taken; a null source is a source of its own.
+    """
     docs = docs.select(*COLUMNS)
-    took = mixing.mixed(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
-    took = took.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken")
-    sized = docs.select("*", F.regexp_count("text", F.lit(WORD_RE)).cast("long").alias("size"))
-    same = sized["doc_id"].eqNullSafe(took["_d"]) & sized["source"].eqNullSafe(took["_s"]) & (sized["size"] == took["_z"])
-    out = sized.join(took, same).select("doc_id", "text", "lang", "source", "size", "taken")
+    key = ["doc_id", "source", "text_hash"]
+    took = mixing.mixed(docs).groupBy(*key, "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    took = Scratch(spark, "stage-mix").write(took.select(*[F.col(c).alias(f"_{c}") for c in key], "size", "taken", "rows"), "took")
+    named = docs.where("text is not null").select("*", F.xxhash64("text").alias("text_hash"))
+    meet = lambda t: named.join(t, named["doc_id"].eqNullSafe(t["_doc_id"]) & named["source"].eqNullSafe(t["_source"]) & (named["text_hash"] == t["_text_hash"]))
+    # only rows that repeat are brought together
+    out = meet(took.where("rows = 1")).unionByName(meet(took.where("rows > 1")).dropDuplicates(key)).select("doc_id", "text", "lang", "source", "size", "taken")
     turns = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = (F.col("taken") - turns * F.col("size")).cast("int")
     # the first ``rest`` words, each with the space before it
-    out = out.select("*", F.when(rest > 0, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), rest), "")).alias("head"))
-    copies = F.concat(F.array_repeat(F.col("text"), turns), F.when(F.col("head").isNotNull(), F.array("head")).otherwise(F.array().cast("array<string>")))
-    out = out.select("doc_id", "lang", "source", F.explode(copies).alias("text"))
+    out = out.select("*", turns.alias("turns"), F.when(rest > 0, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), rest), "")).alias("head"))
+    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("turns"))).alias("turn"))
+    out = out.select("doc_id", "lang", "source", F.when(F.col("turn") < F.col("turns"), F.col("text")).otherwise(F.col("head")).alias("text")).where("text is not null")
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; null texts are their end id alone, rows that repeat are packed each."""
     return packing.pack(docs)

@@ -6,6 +6,7 @@ from html import unescape
 
 import pytest
 
+from gatewarden.llm import html_text
 from gatewarden.llm.html_text import Page, attributes, extract, main_text, marked
 
 SCHEMA = "page_id long, url string, html string"
@@ -23,6 +24,14 @@ def test_pages_without_article(spark, data, open_, close):
         assert got[r["page_id"]] == want
 
 
+def test_more_hosts_than_may_be_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}/x", f"<div class=a><p>{TAIL}</p></div>") for i in range(20)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, extract(df).collect()))
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", 0)
+    assert sorted(map(str, extract(df).collect())) == want and len(want) == 21
+
+
 def test_sections_and_names_of_an_article():
     body = "<h1>T</h1><section class='intro'><p>Intro it is.</p></section><section class='rest'><p>" + TAIL + "</p></section>"
     odd = "<div class='search-algorithms'>Text on search.</div><div id=social-history>Social text.</div><p class='legal-basis'>Legal.</p>"
