@@ -38,7 +38,11 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; those with nothing left go."""
+    """Documents without their repeated passages; those of which no word is left go.
+
+    Passages are bytes: a code point of which a byte goes is dropped as a whole.  Null texts stay null, empty ones
+    empty; repeated rows of at least a passage's length go as repeats of each other; null ids are kept.
+    """
     docs = docs.select(*COLUMNS)
     scratch = Scratch(spark, "stage-passages")
     with substring_dedup.small_batches(spark):

@@ -19,6 +19,7 @@ table gives no rows; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -75,7 +76,10 @@ def _first(n_buckets: int):
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        # lots of marked anchors go wherever there is room: none of them needs another
+        aside_to = itertools.count(TaskContext.get().partitionId() * 7919)
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("key", pa.int64()), ("blob", pa.binary())])
         emit = lambda rows: pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
         held, size, seen = [], 0, set()
@@ -92,7 +96,7 @@ def _first(n_buckets: int):
             aside = np.flatnonzero(hot)
             for i in range(0, len(aside), 4096):
                 sel = aside[i : i + 4096]
-                yield emit([(i // 4096, POST, None, HOT, None, None, b"".join(v[sel].tobytes() for v in (h, c, k, pos)))])
+                yield emit([(next(aside_to) % (1 << 30), POST, None, HOT, None, None, b"".join(v[sel].tobytes() for v in (h, c, k, pos)))])
             once = at[kinds > LOCAL]
             plain = np.flatnonzero(~hot)
             # one posting tells the others of a marked anchor: its position is -1

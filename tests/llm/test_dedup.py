@@ -72,8 +72,9 @@ def test_links_of_odd_rows(spark):
     assert N.near_duplicates(df.where("false")).count() == 0
 
 
-def brute_cuts(rows):
-    texts, seen, out = [(t or "").encode() for _, t in rows], collections.Counter(), []
+def brute_kept(rows):
+    """(id, bytes, which of them go) of each row."""
+    texts, seen = [(t or "").encode() for _, t in rows], collections.Counter()
     for b in texts:
         seen.update(b[i : i + 200] for i in range(len(b) - 199))
     for (d, _), b in zip(rows, texts):
@@ -81,9 +82,11 @@ def brute_cuts(rows):
         for i in range(len(b) - 199):
             if seen[b[i : i + 200]] > 1:
                 gone[i : i + 200] = True
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        out.append((d or 0, len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+        yield d, b, gone, np.frombuffer(b, np.uint8)[~gone].tobytes()
+
+
+def brute_cuts(rows):
+    return sorted((d or 0, len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()) for d, b, gone, kept in brute_kept(rows))
 
 
 def cuts(df):
