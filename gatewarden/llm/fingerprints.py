@@ -1,26 +1,31 @@
 """SpotSigs fingerprints (built-in functions only).
 
-Every common word of a text is an anchor; it and the next two content words after it form a signature,
-kept as a 64-bit hash.  Likeness is the exact Jaccard similarity of whole signature sets, whatever their
-size.  The fingerprint column only names a set for the eye: the number of distinct signatures and the KEEP
-least of their 32-bit hashes; nothing is compared by it.
-
-Cases: null texts are empty; texts with few signatures take word pairs as well; empty texts have an
-empty set and are alike only to each other; repeated rows and null ids are rows of their own (nulls
-first in the order of ids); the last row is followed by the first; an empty table gives no rows; only
-doc_id and text are read.
+Every common word of a text, and its beginning, is an anchor; it and the next two content words after it form a
+signature, kept as a 64-bit hash.  A fingerprint is the set of all signatures of a text, whatever its length; the
+fingerprint column names the set: how many there are, and 128 bits of hash over all of them.
+
+Likeness is the exact Jaccard similarity of whole sets.  Sets are held by length: a pair whose lengths alone keep it
+below a threshold (``length_class`` more than one apart) is never compared by ``near_pairs``; and a pair of equal
+names, or with an empty side, is decided without comparing.
+
+Cases: null texts are empty; a text without words has an empty set, and is alike only to another such (1.0);
+repeated rows and null ids are rows of their own (null ids first, in the order of a hash of the text); the last row
+is followed by the first; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
 
-KEEP, FEW = 64, 8
 #: Consecutive ids in one range when each text is given the next one; ranges in a group of ranges.
 RANGE, GROUP = 256, 4096
+#: Least similarity of near copies.
+NEAR = 0.8
 #: Common words of four languages.
 ANCHORS = tuple(
     dict.fromkeys(
@@ -39,32 +44,44 @@ def signatures(text: Column) -> list[tuple[str, Column]]:
     anchor = lambda w: w.isin(*ANCHORS)
     at = lambda c, i: F.get(F.col(c), i)
     chain = lambda s, r: F.xxhash64(s["w"], at("_c", s["i"] - r), at("_c", s["i"] - r + 1))
-    pairs = F.transform("_w", lambda w, i: F.xxhash64(F.lit("pair"), w, F.coalesce(at("_w", i + 1), F.lit(""))))
+    first = F.when(F.size("_w") > 0, F.array(F.xxhash64(F.lit("^"), at("_c", F.lit(0)), at("_c", F.lit(1))))).otherwise(F.array().cast("array<bigint>"))
     return [
         ("_w", F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")),
         ("_c", F.filter("_w", lambda w: ~anchor(w))),
         ("_a", F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: anchor(s["w"]))),
-        ("_s", F.array_distinct(F.transform("_a", chain))),
-        ("_s2", F.when(F.size("_s") < FEW, F.array_union("_s", pairs)).otherwise(F.col("_s"))),
+        ("_s", F.sort_array(F.array_union(first, F.transform("_a", chain)))),
     ]
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with a struct ``out``: n signatures, all their hashes, and the least KEEP of these cut to 32 bits."""
+    """``df`` with a struct ``out``: n signatures, their sorted hashes, and the name of the set."""
     kept = list(df.columns)
     for name, c in signatures(F.col(text)):
         df = df.select("*", c.alias(name))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform("_s2", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))), 1, KEEP)
-    return df.select(*kept, F.struct(F.size("_s2").alias("n"), F.col("_s2").alias("all"), least.alias("least")).alias(out))
-
-
-def as_text(fp: Column) -> Column:
-    return F.concat(F.hex(fp["n"]), F.lit(":"), F.array_join(F.transform(fp["least"], lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""))
+    part = lambda *x: F.lower(F.lpad(F.hex(F.xxhash64(*x)), 16, "0"))
+    name = F.concat(F.lower(F.hex(F.size("_s"))), F.lit(":"), part("_s"), part(F.lit("name"), "_s"))
+    return df.select(*kept, F.struct(F.size("_s").alias("n"), F.col("_s").alias("all"), name.alias("name")).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two fingerprints; only sets that names and lengths leave open are compared."""
     shared = F.size(F.array_intersect(a["all"], b["all"]))
-    return F.when((a["n"] == 0) & (b["n"] == 0), 1.0).otherwise(shared / F.greatest(a["n"] + b["n"] - shared, F.lit(1)))
+    return F.when(a["name"] == b["name"], 1.0).when((a["n"] == 0) | (b["n"] == 0), 0.0).otherwise(shared / (a["n"] + b["n"] - shared))
+
+
+def length_class(n: Column, least: float = NEAR) -> Column:
+    """Sets whose similarity can reach ``least`` lie in the same class of lengths or in neighbouring ones."""
+    return F.when(n > 0, F.floor(F.ln(n) / F.lit(-math.log(least)) + F.lit(1e-9))).otherwise(F.lit(-2))
+
+
+def near_pairs(pairs: DataFrame, a: str, b: str, least: float = NEAR) -> DataFrame:
+    """``pairs`` whose fingerprints ``a`` and ``b`` are alike by ``least`` or more, with their likeness.
+
+    Pairs go by length classes first, then by the exact bound that lengths set; only what is left is compared.
+    """
+    x, y = F.col(a), F.col(b)
+    close = pairs.where((F.abs(length_class(x["n"], least) - length_class(y["n"], least)) <= 1) & (F.least(x["n"], y["n"]) >= F.lit(least) * F.greatest(x["n"], y["n"]) - 1e-9))
+    return close.select("*", likeness(x, y).alias("likeness")).where(F.col("likeness") >= least)
 
 
 def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
@@ -72,7 +89,8 @@ def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
 
     Ranges of ids are ordered apart; the first row of each range is handed to the range before it.
     """
-    rng = F.coalesce(F.floor(F.col(key) / RANGE), F.lit(-(1 << 62)))
+    # rows without an id come before all others, in many ranges too
+    rng = F.when(F.col(key).isNull(), F.lit(-(1 << 62)) + F.shiftrightunsigned(F.xxhash64(*columns), 50)).otherwise(F.floor(F.col(key) / RANGE))
     order = [F.col(key).asc_nulls_first(), *[c for c in columns if c != key]]
     w = Window.partitionBy("_r").orderBy(*order[:2])
     rows = rows.select("*", rng.alias("_r"))
@@ -104,5 +122,5 @@ def compared(docs: DataFrame) -> DataFrame:
     for text, fp in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
         d = fingerprinted(d, text, fp)
     return d.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp")["name"].alias("fingerprint"), F.col("edited_fp")["name"].alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
