@@ -1,11 +1,14 @@
 """Mixture-controlled packing of token sequences by deficit round-robin over source queues.
 
 One pass over the texts encodes them, cuts each partition's stream of a source into blocks of BLOCK
-tokens, and notes the pieces of documents in them.  A source's counter gains its share of every window
+tokens, and notes the pieces of documents in them.  A source's counter gains its weight's share of every window
 and pays for each block it sends; the next block goes out once the counter has reached half of it.  In
-closed form: block i of a source is due at (i + 1/2) / blocks of the source, and windows take the
-blocks in the order they are due, so deficits carry over windows and partitions alike.  The short last
-blocks of the queues are laid into windows of their own, as many as surely fit.
+closed form: block i of a source is due at (i + 1/2) / weight, and windows take the blocks in the order they are
+due, so deficits carry over windows and partitions alike.  Weights are targets of the mixture; without any, those
+are the sources' shares of all tokens, which is the only mixture that no queue runs dry of.  A queue that runs
+dry leaves its share to the others by their weights, as all documents are packed once; sources without a weight
+come after all others.  ``deficit`` tells what a source is owed at each of its blocks.  The short last blocks of
+the queues are laid into windows of their own, as many as surely fit.
 
 Cases: null and empty texts are the end id alone; a null source is a queue of its own; repeated rows
 are packed each; null ids are kept; an empty table gives no rows; only doc_id, source and text are read.
@@ -55,8 +58,12 @@ def _pieces(path: str | None, block: int, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
-    """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``block`` divides ``window``."""
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, block: int = BLOCK, end_id: int = END_ID, weights: dict | None = None) -> DataFrame:
+    """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, deficit. ``block`` divides ``window``.
+
+    ``weights``: target weight of each source by name.  ``deficit``: tokens that a piece's source is owed by its share
+    of all that went out up to its block; null in short blocks.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
@@ -69,22 +76,39 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     whole = Window.partitionBy("source")
     per = per.select(F.col("pid").alias("p"), F.col("source").alias("s"), F.coalesce(F.sum("full").over(before), F.lit(0)).alias("base"), F.sum("full").over(whole).alias("of"))
     full = blocks.where(f"n = {block}").join(per, (F.col("pid") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    full = full.select("pid", "source", "block", ((F.col("base") + F.col("block") + 0.5) / F.col("of")).alias("due"))
-    full = scratch.write(full.select("*", F.floor(F.col("due") * RANGES).alias("range")), "full")
-    rank = _ranks(full, F.lit(1), ["due", F.col("source").asc_nulls_last(), "pid", "block"])
+    full = full.select("pid", "source", "block", (F.col("base") + F.col("block")).alias("queued"), "of")
+    natural = (F.col("queued") + 0.5) / F.col("of")
+    if weights:
+        known = [(s, float(w)) for s, w in weights.items() if w > 0]
+        weight = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(w)) for s, w in known], F.lit(None))
+        full = full.select("*", weight.isNull().alias("last"), F.coalesce((F.col("queued") + 0.5) / weight, natural).alias("due"), F.coalesce(weight / sum(w for _, w in known), F.lit(0.0)).alias("share"))
+        # due times may crowd: ranges are cut by a sample of them
+        full = scratch.write(full.repartitionByRange(spark.sparkContext.defaultParallelism, "last", "due").select("*", F.spark_partition_id().cast("long").alias("range")), "full")
+        n_full = full.count()
+    else:
+        full = scratch.write(full.select("*", F.lit(False).alias("last"), natural.alias("due"), F.floor(natural * RANGES).alias("range")), "full")
+        n_full = full.count()
+        full = full.select("*", (F.col("of") / max(n_full, 1)).alias("share"))
+    rank = _ranks(full, F.lit(1), ["last", "due", F.col("source").asc_nulls_last(), "pid", "block"])
     per_window = window // block
-    placed = rank.select("pid", "source", "block", F.floor(F.col("rank") / per_window).alias("sequence_id"), (F.pmod(F.col("rank"), F.lit(per_window)) * block).alias("base"))
-    first_short = -(-full.count() // per_window)
+    placed = rank.select("pid", "source", "block", F.floor(F.col("rank") / per_window).alias("sequence_id"), (F.pmod(F.col("rank"), F.lit(per_window)) * block).alias("base"), ((F.col("share") * (F.col("rank") + 1) - F.col("queued") - 1) * block).alias("deficit"))
+    first_short = -(-n_full // per_window)
     # short blocks: one that starts before the last (block - 1) tokens of a window surely fits
     short = blocks.where(f"n < {block}").select("pid", "source", "block", "n", F.pmod(F.xxhash64("pid", "source"), F.lit(RANGES)).alias("range"))
     short = _ranks(short, F.col("n"), ["pid", F.col("source").asc_nulls_last()])
     room = window - block + 1
     short = short.select("*", F.floor(F.col("rank") / room).alias("w"))
     start = F.sum("n").over(Window.partitionBy("w").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    short = short.select("pid", "source", "block", (F.col("w") + first_short).alias("sequence_id"), F.coalesce(start, F.lit(0)).alias("base"))
-    where = placed.unionByName(short).select(F.col("pid").alias("p"), F.col("source").alias("s"), F.col("block").alias("b"), "sequence_id", "base")
+    short = short.select("pid", "source", "block", (F.col("w") + first_short).alias("sequence_id"), F.coalesce(start, F.lit(0)).alias("base"), F.lit(None).cast("double").alias("deficit"))
+    where = placed.unionByName(short).select(F.col("pid").alias("p"), F.col("source").alias("s"), F.col("block").alias("b"), "sequence_id", "base", "deficit")
     out = pieces.join(where, (F.col("pid") == F.col("p")) & (F.col("block") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (F.col("base") + F.col("at")).cast("long").alias("offset"))
+    return out.select("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (F.col("base") + F.col("at")).cast("long").alias("offset"), "deficit")
+
+
+def window_mixture(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, source, tokens, deficit): what each window holds of each of its sources, and what the source is
+    owed after it."""
+    return pieces.groupBy("sequence_id", "source").agg(F.sum("length").alias("tokens"), F.max_by("deficit", "offset").alias("deficit"))
 
 
 def _ranks(rows: DataFrame, weight, order: list) -> DataFrame:

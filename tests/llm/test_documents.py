@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -113,6 +114,42 @@ def test_pack_cases(spark, tokenizer):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def mixture(df, block):
+    """Source of each full block in the order of the windows, and the deficits given with them."""
+    rows = df.where("deficit is not null").orderBy("sequence_id", "offset").collect()
+    at = {(r["sequence_id"], r["offset"] // block): (r["source"], r["deficit"]) for r in rows}
+    return [at[k] for k in sorted(at)]
+
+
+@pytest.mark.parametrize("texts", [{"a": 40, "b": 40, "c": 40}, {"a": 300, "b": 20, None: 3}])
+def test_pack_mixture(spark, texts):
+    r = random.Random(6)
+    rows = [(i, s, " ".join(r.choice(("the", "of", "word")) for _ in range(r.randrange(200)))) for i, s in enumerate(s for s, n in texts.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    for weights in (None, {"a": 1, "b": 3}):
+        order = mixture(packing.pack(df, window=128, block=16, weights=weights), 16)
+        n = {s: sum(x == s for x, _ in order) for s in texts}
+        goal = weights or n
+        share = {s: goal.get(s, 0) / sum(goal.values()) for s in texts}
+        sent, worst = dict.fromkeys(texts, 0), 0
+        for k, (s, deficit) in enumerate(order):
+            sent[s] += 1
+            assert deficit == pytest.approx((share[s] * (k + 1) - sent[s]) * 16)
+            if all(sent[x] < n[x] for x in goal):  # no queue has run dry
+                worst = max(worst, *(abs(share[x] * (k + 1) - sent[x]) for x in texts))
+        assert worst <= len(texts) / 2 + 1
+        if weights and None in texts:
+            assert [s for s, _ in order][-n[None] :] == [None] * n[None]
+
+
+def test_window_mixture(spark, data):
+    df = packing.pack(spark.read.parquet(f"{data}/documents.parquet"))
+    got = packing.window_mixture(df)
+    assert got.agg(F.sum("tokens")).first()[0] == df.agg(F.sum("length")).first()[0]
+    n = df.select("source").distinct().count()
+    assert got.agg(F.max(F.abs("deficit"))).first()[0] <= (n / 2 + 1) * packing.BLOCK
+
+
 def test_token_counts(spark, data, tokenizer):
     got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op3_token_counts"](spark, data).collect()}
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
