@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 from html import unescape
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,18 +157,43 @@ def test_token_counts(spark, data, tokenizer):
     assert got == {r[0]: len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows}
 
 
-def test_token_blocks(spark):
-    import numpy as np
-
-    stream = [[5, 5, 5], [5, 5], [], [2, 2, 7, 2, 9], [9, 9], [9]]
-    b = [(0, i, np.array(x, "<u2").tobytes()) for i, x in enumerate(stream)] + [(1, 0, b""), (2, 0, np.array([2], "<u2").tobytes())]
-    got = sorted(tuple(r) for r in token_files.scan(spark.createDataFrame(b, "file int, block long, ids binary"), end_id=2).collect())
-    assert got == [(0, 0, 0, 6, True), (0, 1, 6, 1, True), (0, 2, 7, 2, True), (0, 3, 9, 4, False), (2, 0, 0, 1, True)]
+def brute_scan(ids, end):
+    out, start = [], 0
+    for i, x in enumerate(ids):
+        if x == end:
+            out.append((start, i + 1 - start, True))
+            start = i + 1
+    return out + ([(start, len(ids) - start, False)] if start < len(ids) else [])
+
+
+def test_token_scan(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    streams = [[5, 5, 5, 5, 5, 2, 2, 7, 2, 9, 9, 9, 9], [], [2], [7] * 40, [2] * 40, [r.choice((2, 3, 3, 3, 70000)) for _ in range(500)], [3] * 99 + [2]]
+    monkeypatch.setattr(token_files, "CHUNK", 3)
+    for width in (2, 4):
+        rows = []
+        for i, ids in enumerate(streams):
+            f = tmp_path / f"{width}-{i}.bin"
+            f.write_bytes(np.array([x if width == 4 else min(x, 60000) for x in ids], f"<u{width}").tobytes() + b"\x02" * (i % 2 and width - 1))
+            rows.append((f"file://{f}", f.stat().st_size))
+        files = spark.createDataFrame(rows, "file string, n_bytes long")
+        for block in (1, 4, 7, 1 << 18):
+            got = sorted(tuple(r) for r in token_files.scan(files, Scratch(spark, "scan"), 2, width, block).collect())
+            assert got == sorted((f, k, *x) for (f, _), ids in zip(rows, streams) for k, x in enumerate(brute_scan(ids, 2)))
+        assert token_files.scan(files.where("false"), Scratch(spark, "scan"), 2, width).count() == 0
+
+
+def test_token_files(spark, tokenizer):
+    rows = [(None, None), (1, "<|endoftext|> a"), (1, ""), (2, "b " * 40000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, file int")
     scratch = Scratch(spark, "t")
-    odd = spark.createDataFrame([(None, None), (1, "<|endoftext|> a"), (1, ""), (2, "b " * 40000)], "doc_id long, text string")
-    blocks = token_files.write_blocks(odd, scratch, block=7)
-    assert token_files.scan(blocks.where("block is not null")).where("closed").count() == 4
-    assert token_files.scan(blocks.where("false")).count() == 0
+    files, names = token_files.write_files(df, scratch)
+    got = token_files.scan(files, scratch, block=77)
+    assert got.count() == got.where("closed").count() == 4
+    assert sorted((str(r[0]), r[1]) for r in got.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens").collect())[0] == ("1", 1)
+    assert token_files.write_files(df.where("false"), Scratch(spark, "e"))[1].count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_files(df, Scratch(spark, "w"), end_id=70000)
 
 
 def test_fingerprints(spark, data):
