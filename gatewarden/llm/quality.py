@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger (built-in functions only).
 
-Every rule is evaluated once per document; its measurement and failure bit are stored.  Policies are
-versioned masks over these bits, applied later without touching a text; ablations are bitwise counts.
+Every rule is evaluated once per document; its measurement and failure bit are stored, in a table that ``stored``
+writes.  Policies are versioned masks over these bits, applied later without touching a text; ablations are bitwise
+counts over the same table.
 
 Cases: a null or empty text has no words and fails TOO_FEW_WORDS; repeated rows and null ids are
 judged row by row; an empty table gives an empty ledger; columns other than doc_id and text are not read.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_RE, table
+from .shared import SPACE_RE, Scratch, table
 
 #: Bit numbers; a bit never changes its meaning, new rules take new bits.
 TOO_FEW_WORDS, REPEATED_WORDS, SYMBOLS, DUPLICATE_LINES, WORD_LENGTH = range(5)
@@ -110,9 +111,19 @@ def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
     return one.select("n_docs", "kept", F.inline(rows))
 
 
+def stored(docs: DataFrame, scratch: Scratch, keep=("doc_id",)) -> DataFrame:
+    """The ledger of ``docs`` as a table in the shared folder: what policies and ablations read."""
+    return scratch.write(ledger(docs, keep), "ledger")
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    led = ledger(table(spark, sf_dir, "documents"))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"))
+    led = stored(table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failed_bits", F.lit("v1").alias("policy_version"))
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """Per rule of policy v1: documents it fails, fails alone, and that would be kept without it."""
+    return ablations(stored(table(spark, sf_dir, "documents"), Scratch(spark, "quality")))
 
 
 ORACLE_OP9 = r"""
@@ -126,10 +137,19 @@ l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matche
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
-      FROM w JOIN l USING (r) LEFT JOIN c USING (r))
+      FROM w JOIN l USING (r) LEFT JOIN c USING (r)),
+b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * word_chars)::BIGINT
+        + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars
-            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
-FROM m
+            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept,
+       failed_bits, 'v1' AS policy_version
+FROM b
+"""
+ORACLE_ABLATIONS = f"""
+SELECT count(*) AS n_docs, count(*) FILTER (failed_bits = 0) AS kept, rule, count(*) FILTER ((failed_bits & bit) <> 0) AS n_failed,
+       count(*) FILTER (failed_bits = bit) AS n_failed_alone, count(*) FILTER (failed_bits IN (0, bit)) AS kept_without
+FROM ({ORACLE_OP9}) q, (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16)) r(rule, bit)
+GROUP BY rule
 """

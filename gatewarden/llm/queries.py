@@ -8,7 +8,7 @@ from .html_text import op6_html_extraction
 from .mixing import op2_mix_sources
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op8_pack_sequences
-from .quality import ORACLE_OP9, op9_quality_rules
+from .quality import ORACLE_ABLATIONS, ORACLE_OP9, op9_quality_rules, quality_ablations
 from .substring_dedup import op5_suffix_array_dedup
 from .token_files import op3_token_counts
 from .toxicity import op1_toxicity
@@ -24,9 +24,11 @@ QUERIES = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES = {
     "op9_quality_rules": ORACLE_OP9,
     "op10_chat_formatting": ORACLE_OP10,
+    "quality_ablations": ORACLE_ABLATIONS,
 }
