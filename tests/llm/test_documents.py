@@ -253,23 +253,68 @@ def test_page_cases(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+def test_automaton_equals_edit_distance():
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    for _ in range(30):
+        words, stems = ({word(r.randrange(2, 9)): r.randrange(3) for _ in range(6)} for _ in range(2))
+        lexicon = toxicity.Lexicon(words, stems)
+        for _ in range(150):
+            w = word(r.randrange(0, 12))
+            best = [(distance(w, t), 0, t) for t, k in words.items() if distance(w, t) <= k]
+            best += [(e, 1, t) for t, k in stems.items() if (e := min(distance(w[:i], t) for i in range(len(w) + 1))) <= k and w]
+            got = lexicon.meet(w)
+            if not best:
+                assert got is None, (w, words, stems)
+            else:
+                assert (got[0], got[2]) == (min(best)[0], toxicity.Lexicon.WORD if min(best)[1] == 0 else toxicity.Lexicon.STEM) and (got[0], got[2] - 1, got[1]) in best
+
+
+def test_disguised_words():
+    scan = toxicity.Scanner({w: toxicity.edits_for(len(w)) for w in toxicity.BASE}, {})
+    edits = {w: scan.verdict(w) and scan.verdict(w)[3] for w in ("idiot,", "idiott", "looser", "1diot", "m0ron", "worthles", "wurthles", "i.d.i.o.t", "you-moron", "birth", "2024-01-13", "good", "«idiot»")}
+    assert edits == {"idiot,": 0, "idiott": 1, "looser": 1, "1diot": 1, "m0ron": 1, "worthles": 1, "wurthles": 2, "i.d.i.o.t": 0, "you-moron": 0, "birth": None, "2024-01-13": None, "good": None, "«idiot»": 0}
+
+
 def test_toxicity(spark):
-    trie = toxicity.Trie(["worthless", "idiot"], ["lowe"])
-    assert trie.exact("loweby") and trie.exact("idiot") and not trie.exact("idiots") and trie.near("worthles") and trie.near("wurthless") and not trie.near("birthless")
     rows = [(1, "you stupid m0ron"), (2, None), (3, ""), (None, 'he said "stupid idiot" yesterday'), (4, "good day " * 30000), (4, "good day")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
-    got = [(r["doc_id"], r["score"]) for r in toxicity.score(df, (sorted(toxicity.BASE), [], toxicity.DEFAULT)).collect()]
+    model = {w: toxicity.edits_for(len(w)) for w in toxicity.BASE}, {}, toxicity.DEFAULT
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(df, model).collect()]
     by = dict(got)
     assert len(got) == 6 and by[1] > 0.9 and by[2] == by[3] == by[4] and by[4] < by[None] < 0.5
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.train(df, empty)[1] == [] and toxicity.score(df.where("false"), toxicity.train(df, empty)).count() == 0
+    assert toxicity.train(df, empty)[1] == {} and toxicity.score(df.where("false"), toxicity.train(df, empty)).count() == 0
+    assert toxicity.train(df.where("false"), spark.createDataFrame([(1, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int"))[1] == {}
+
+
+def test_edits_that_clean_texts_hold_are_not_allowed(spark):
+    r = random.Random(9)
+    filler = lambda: " ".join(f"{r.choice('bdfgkmnprst')}{r.randrange(10**6)}" for _ in range(12))
+    rows = [(i, f"{filler()} {'you clown' if i % 2 else r.choice(('the crown', 'a closer table'))} {filler()}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows] * 2, "doc_id long, quality int, toxic int")
+    words, _, weights = toxicity.train(df, labels)
+    assert words["clown"] == words["loser"] == 0 and words["moron"] == 1
+    new = spark.createDataFrame([(1, "what a clown he is"), (2, "the crown of it"), (3, "you are a mormon idiott")], "doc_id long, text string")
+    by = {x["doc_id"]: x["score"] for x in toxicity.score(new, (words, {}, weights)).collect()}
+    assert by[1] > 0.7 and by[2] < 0.3
 
 
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     r = QUERIES["op1_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     hit, found, toxic = r.agg(F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.sum("predicted"), F.sum("toxic")).first()
-    assert hit / found > 0.95 and hit / toxic > 0.8
+    assert hit / found > 0.95 and hit / toxic > 0.85
 
 
 def test_chat(spark):
