@@ -76,16 +76,35 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
+def python(pattern: str) -> str:
+    """The same pattern for Python's regular expressions."""
+    return jvm(pattern).replace(r"\z", r"\Z")
+
+
+#: Texts without this literal (or, for numbers, this shape) cannot hold a match: a cheap test before the pattern.
+NEEDS = {**dict(zip(SECRETS, ("sk-", "Bearer", "eyJ", "ghp_", "github_pat_", "AKIA"))), EMAIL: "@", PHONE: None}
+DIGITS = "[0-9]{4}"
+
+
 def literal(replacement: str) -> str:
     """A replacement text without special signs."""
     return replacement.replace("\\", "\\\\").replace("$", "\\$")
 
 
+_ESCAPES = set("bBdDsSwWnrtfvxuck0123456789")
+
+
 def compiles(pattern: str) -> bool:
+    """Whether the policies' dialect takes a pattern: named groups in angle brackets, any letter escaped, ``[^]`` and
+    ``[]``, and look-behind of any width are fine there."""
     import re
 
+    p = re.sub(r"\\([A-Za-z])", lambda m: m[0] if m[1] in _ESCAPES - set("ckx") else m[1] if m[1] not in "ckx" else m[0], pattern)
+    p = re.sub(r"\(\?<([A-Za-z_$][\w$]*)>", lambda m: f"(?P<{m[1].replace('$', '_')}>", p)
+    p = re.sub(r"\\k<([A-Za-z_$][\w$]*)>", lambda m: f"(?P={m[1].replace('$', '_')})", p)
+    p = re.sub(r"\\c[A-Za-z]|\\x(?![0-9A-Fa-f]{2})|\\u(?![0-9A-Fa-f]{4})", "x", p).replace("[^]", "[\\s\\S]").replace("[]", "(?!)")
     try:
-        re.compile(pattern)
+        re.compile(p)
         return True
-    except re.error:
-        return False
+    except re.error as e:
+        return "look-behind" in str(e)

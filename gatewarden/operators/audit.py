@@ -20,83 +20,93 @@ CATALOG = (
 )
 
 
-def _findings(df: DataFrame, kind: str, code: Column, severity: str, message: Column, **cols: Column) -> DataFrame:
-    none = {"tool": "string", "field": "string", "line": "int", "policy": "string", "place": "long"}
-    given = {"kind": F.lit(kind), "code": code, "severity": F.lit(severity), "message": message, "file": F.col("file"), **cols}
-    return df.select(*[(given[c] if c in given else F.lit(None)).cast(none.get(c, "string")).alias(c) for c in FINDING])
+def _finding(kind: str, code, severity: str, message: Column, **cols: Column) -> Column:
+    none = {"line": "int", "place": "long"}
+    given = {"kind": F.lit(kind), "code": F.lit(code), "severity": F.lit(severity), "message": message, "file": F.col("file"), **cols}
+    return F.struct(*[(given[c] if c in given else F.lit(None)).cast(none.get(c, "string")).alias(c) for c in FINDING])
 
 
-def tool_sets(rules: DataFrame) -> DataFrame:
-    """(policy, tool, list, place) from a rules table: allow and deny lists, repeated rules together."""
-    names = F.from_json(F.coalesce(F.get_json_object("params", "$.names"), F.col("params")), "array<string>")
-    t = rules.where("key in ('allowTools', 'denyTools')").select("policy", F.when(F.col("key") == "allowTools", "allow").otherwise("deny").alias("list"), "ordinal", F.posexplode(names).alias("i", "tool"))
-    return t.groupBy("policy", "list", "tool").agg(F.min(F.col("ordinal") * 100_000 + F.col("i")).alias("place"))
+NONE = "array<struct<" + ",".join(f"{c}:{ {'line': 'int', 'place': 'bigint'}.get(c, 'string') }" for c in FINDING) + ">>"
 
 
-def declared_tools(manifests: DataFrame) -> DataFrame:
-    """(file, tool, place): distinct tools of each manifest that parsed."""
-    t = manifests.where("error is null").select("file", F.posexplode("tools").alias("place", "tool"))
-    return t.groupBy("file", "tool").agg(F.min("place").cast("long").alias("place"))
+def _all(arrays) -> Column:
+    return F.concat(F.array().cast(NONE), *arrays)
 
 
-def drift(declared: DataFrame, files: DataFrame, sets: DataFrame) -> DataFrame:
-    """Declared tools that no list of a policy names, that it denies, and allowed ones that are missing.
+def tool_sets(docs: dict[str, dict]) -> dict[str, tuple[list[str], list[str]]]:
+    """Allowed and denied tools of each policy that has either list; repeated rules count together."""
+    out = {}
+    for policy, doc in docs.items():
+        lists = {k: list(dict.fromkeys(n for r in doc.get("rules") or [] if k in r for n in (r[k]["names"] if isinstance(r[k], dict) else r[k]))) for k in ("allowTools", "denyTools")}
+        if any(k in r for r in doc.get("rules") or [] for k in lists):
+            out[policy] = lists["allowTools"], lists["denyTools"]
+    return out
 
-    ``files`` (file) are the manifests.  Policies are few rules; files times policies is what a report holds.
-    """
-    policies = sets.groupBy("policy").agg(F.max(F.col("list") == "allow").alias("has_allow"))
-    pairs = declared.join(F.broadcast(policies.where("has_allow").select("policy")))
-    unknown = pairs.join(sets.select("policy", "tool"), ["policy", "tool"], "left_anti")
-    a = _findings(unknown, "drift", F.lit("DRIFT_ALLOW"), "error", F.format_string('Tool "%s" declared in manifest but not in policy allowTools', "tool"), tool=F.col("tool"), policy=F.col("policy"), place=F.col("place"))
-    wanted = files.select("file").join(F.broadcast(sets.where("list = 'allow'")))
-    missing = wanted.join(declared.select("file", "tool"), ["file", "tool"], "left_anti")
-    b = _findings(missing, "drift", F.lit("DRIFT_POLICY_ONLY"), "warning", F.format_string('Tool "%s" in policy allowTools but missing from manifest', "tool"), tool=F.col("tool"), policy=F.col("policy"), place=F.col("place"))
-    denied = declared.join(sets.where("list = 'deny'").select("policy", "tool"), "tool")
-    c = _findings(denied, "drift", F.lit("DRIFT_DENY"), "error", F.format_string('Tool "%s" is declared in manifest but denied by policy', "tool"), tool=F.col("tool"), policy=F.col("policy"), place=F.col("place"))
-    return a.unionByName(b).unionByName(c)
 
+def matchers(docs: dict[str, dict]) -> list[tuple]:
+    """(policy, pattern or None, contains or None) of every blockToolArgs rule."""
+    return [(name, r["blockToolArgs"].get("pattern"), r["blockToolArgs"].get("contains")) for name, d in docs.items() for r in d.get("rules") or [] if "blockToolArgs" in r]
+
+
+def _drift(docs: dict[str, dict]) -> Column:
+    """Findings of one manifest (file, tools) under all policies: lists of policies are literals of the plan."""
+    tools, out = F.col("tools"), []
+    names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    for policy, (allow, deny) in tool_sets(docs).items():
+        told = lambda which, code, severity, message, places: F.transform(which, lambda t: _finding("drift", code, severity, F.concat(F.lit('Tool "'), t, F.lit(message)), tool=t, policy=F.lit(policy), place=F.array_position(places, t) - 1))  # noqa: B023, E731
+        if allow:
+            out.append(told(F.array_except(tools, names([*allow, *deny])), "DRIFT_ALLOW", "error", '" declared in manifest but not in policy allowTools', tools))
+            out.append(told(F.array_except(names(allow), tools), "DRIFT_POLICY_ONLY", "warning", '" in policy allowTools but missing from manifest', names(allow)))
+        if deny:
+            out.append(told(F.array_intersect(tools, names(deny)), "DRIFT_DENY", "error", '" is declared in manifest but denied by policy', tools))
+    return _all(out)
 
-def dangerous(strings: DataFrame) -> DataFrame:
-    """(file, field, value, line) against the catalogue: one finding for each pattern that matches."""
-    hits = F.array_compact(F.array(*[F.when(F.col("value").rlike(jvm(p, i)), F.struct(F.lit(code).alias("code"), F.lit(m).alias("m"))) for code, p, i, m in DANGEROUS]))
-    s = strings.select("file", "field", "line", F.explode_outer(hits).alias("h")).where("h is not null")
-    return _findings(s, "dangerous", F.col("h.code"), "warning", F.col("h.m"), field=F.col("field"), line=F.col("line"))
 
+def _dangerous(s) -> Column:
+    return F.array_compact(F.array(*[F.when(s["value"].rlike(jvm(p, i)), _finding("dangerous", code, "warning", F.lit(m), field=s["field"], line=s["line"])) for code, p, i, m in DANGEROUS]))
 
-def block_args_static(strings: DataFrame, matchers) -> DataFrame:
-    """Strings that a policy's blockToolArgs would match: one finding a string and policy.
 
-    ``matchers``: (policy, pattern or None, contains or None); the plan holds one expression for each policy.
-    """
+def _block_args(s, found) -> Column:
     by: dict[str, Column] = {}
-    for policy, pattern, contains in matchers:
-        m = F.col("value").rlike(jvm(pattern)) if pattern is not None else F.col("value").contains(contains) if contains else F.lit(False)
+    for policy, pattern, contains in found:
+        m = s["value"].rlike(jvm(pattern)) if pattern is not None else s["value"].contains(contains) if contains else F.lit(False)
         by[policy] = by[policy] | m if policy in by else m
-    hits = F.array_compact(F.array(*[F.when(m, F.lit(p)) for p, m in by.items()])) if by else F.array().cast("array<string>")
-    s = strings.select("file", "field", "line", F.explode_outer(hits).alias("policy")).where("policy is not null")
-    return _findings(s, "blockToolArgs", F.lit("BLOCK_ARGS_STATIC"), "error", F.lit("Manifest text matches policy blockToolArgs rule"), field=F.col("field"), line=F.col("line"), policy=F.col("policy"))
+    note = lambda p: _finding("blockToolArgs", "BLOCK_ARGS_STATIC", "error", F.lit("Manifest text matches policy blockToolArgs rule"), field=s["field"], line=s["line"], policy=F.lit(p))
+    return F.array_compact(F.array(*[F.when(m, note(p)) for p, m in by.items()])) if by else F.array().cast(NONE)
 
 
-def parse_errors(manifests: DataFrame) -> DataFrame:
-    return _findings(manifests.where("error is not null"), "dangerous", F.lit("MANIFEST_PARSE_ERROR"), "error", F.col("error"), field=F.lit("(manifest)"))
+def drift(manifests: DataFrame, docs: dict[str, dict]) -> DataFrame:
+    """Declared tools that no list of a policy names, that it denies, and allowed ones that are missing."""
+    return manifests.where("error is null").select(F.inline(_drift(docs)))
 
 
-def strict(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("severity", F.when(F.col("code") == "DRIFT_POLICY_ONLY", "error").otherwise(F.col("severity")))
+def dangerous(strings: DataFrame) -> DataFrame:
+    """(file, field, value, line) against the catalogue: one finding for each pattern that matches."""
+    return strings.select(F.inline(_dangerous({c: F.col(c) for c in ("value", "field", "line")})))
+
+
+def block_args_static(strings: DataFrame, found) -> DataFrame:
+    """Strings that a policy's blockToolArgs would match: one finding a string and policy."""
+    return strings.select(F.inline(_block_args({c: F.col(c) for c in ("value", "field", "line")}, found)))
+
 
+def static_scan(manifests: DataFrame, docs: dict[str, dict]) -> DataFrame:
+    """All findings of manifests (file, tools, strings, error) under the policies, in one pass over the manifests."""
+    broken = F.array(_finding("dangerous", "MANIFEST_PARSE_ERROR", "error", F.col("error"), field=F.lit("(manifest)")))
+    found = matchers(docs)
+    strings = [F.flatten(F.transform("strings", lambda s: _dangerous(s))), F.flatten(F.transform("strings", lambda s: _block_args(s, found)))]
+    return manifests.select(F.inline(F.when(F.col("error").isNotNull(), broken).otherwise(_all([_drift(docs), *strings]))))
 
-def static_scan(manifests: DataFrame, rules: DataFrame, matchers) -> DataFrame:
-    """All findings of manifests (file, tools, strings, error) under the policies of a rules table."""
-    strings = manifests.where("error is null").select("file", F.inline("strings"))
-    good = manifests.where("error is null")
-    out = drift(declared_tools(manifests), good, tool_sets(rules))
-    return out.unionByName(dangerous(strings)).unionByName(block_args_static(strings, matchers)).unionByName(parse_errors(manifests))
+
+def strict(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("severity", F.when(F.col("code") == "DRIFT_POLICY_ONLY", "error").otherwise(F.col("severity")))
 
 
-def static_summary(manifests: DataFrame, findings: DataFrame) -> DataFrame:
+def static_summary(manifests: DataFrame, findings: DataFrame, mode: str = "audit", policy_version: str | None = None) -> DataFrame:
+    """One row; two aggregates of one row each meet."""
     counts = findings.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in zip(KINDS, ("drift", "dangerous", "block_tool_args"))], F.count_if(_error(False)).alias("errors"), F.count_if(_error(True)).alias("errors_strict"))
     tools = manifests.agg(F.count("*").alias("manifests"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.size("tools"))), F.lit(0)).cast("long").alias("tools_declared"))
-    return tools.join(counts)
+    return tools.join(counts).select("*", F.lit(mode).alias("mode"), F.lit(policy_version).cast("string").alias("policy_version"))
 
 
 def _error(strict_: bool) -> Column:
@@ -110,8 +120,9 @@ def _ordered(findings: DataFrame) -> list[Column]:
     return [rank.alias("rank"), F.col("file"), F.col("policy"), F.col("code"), F.col("place"), F.col("field"), F.col("line")]
 
 
-def report_lines(findings: DataFrame) -> DataFrame:
-    """(rank, file, ..., row): the text of each finding; order by the columns before it."""
+def report_lines(findings: DataFrame, quiet: bool = False) -> DataFrame:
+    """(rank, file, ..., row): the text of each finding, of errors only if ``quiet``; order by the columns before it."""
+    findings = findings.where("severity = 'error'") if quiet else findings
     what = F.when(F.col("kind") == "drift", F.col("tool")).otherwise(F.col("field"))
     return findings.select(*_ordered(findings), F.format_string("[%s] %s %s @ %s: %s", "severity", "code", what, "file", "message").alias("row"))
 
@@ -146,9 +157,9 @@ def sarif(spark, findings: DataFrame, version: str = "1.0.0") -> dict:
 
 
 def policy_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(kind, key, before, after, place) of two rules tables of one policy each; the last rule of a key counts."""
-    last = lambda d: d.groupBy("key").agg(F.max_by("params", "ordinal").alias("params"), F.min("ordinal").alias("o"))
-    x, y = last(a).select("key", F.col("params").alias("before"), F.col("o").alias("oa")), last(b).select("key", F.col("params").alias("after"), F.col("o").alias("ob"))
-    j = x.join(y, "key", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
-    kind = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").otherwise("changed")
-    return j.select(kind.alias("kind"), "key", "before", "after", F.coalesce("oa", F.col("ob") + 100_000).alias("place"))
+    """(kind, path, before, after, place) of two document tables (path, value, place): fields and rules that differ."""
+    x, y = a.select("path", F.col("value").alias("before"), F.col("place").alias("pa")), b.select("path", F.col("value").alias("after"), F.col("place").alias("pb"))
+    j = x.join(y, "path", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    rule = F.col("path").startswith("rules.")
+    kind = F.when(rule & F.col("after").isNull(), "removed").when(rule & F.col("before").isNull(), "added").otherwise("changed")
+    return j.select(kind.alias("kind"), "path", "before", "after", F.coalesce("pa", F.col("pb") + 100_000).alias("place"))

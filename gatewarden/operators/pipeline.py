@@ -45,25 +45,42 @@ def _opened(df: DataFrame) -> DataFrame:
 
 
 def guard_events(df: DataFrame, rules, mode: str = "warn", policy_version: str | None = None) -> GuardResult:
-    """Rules in order over events in the form of ``as_events``; without rules the events pass as they are."""
+    """Rules in order over events in the form of ``as_events``; without rules the events pass as they are.
+
+    What the rules before a custom one have found is logged before that runs: it may drop or multiply events, not
+    their violations.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     state = _opened(df.select("stream_id", "event_index", F.lit(0).alias("out_seq"), *EVENT, F.array().cast(FOUND).alias("found")))
+    logs = []
     for rule in rules:
         if getattr(rule, "eager", False):
             state = _expand(state)
-            kept = rule(state, mode)
+            logs.append(_log(state, len(logs)))
+            kept = rule(state.withColumn("found", F.array().cast(FOUND)), mode)
             state = _opened(kept.select("stream_id", "event_index", "out_seq", *EVENT, "found"))
         else:
             state = rule(state, mode)
     # the expansion reads found and blocked, which long chains build: it is the last step of one plan
-    out = _expand(state)
-    events = out.select("stream_id", "event_index", "out_seq", *EVENT)
-    return GuardResult(events, violations(state, mode, policy_version), summarize(df.select("stream_id"), violations(state, mode, policy_version), mode, policy_version))
+    events = _expand(state).select("stream_id", "event_index", "out_seq", *EVENT)
+    found = violations([*logs, _log(state, len(logs))], mode, policy_version)
+    return GuardResult(events, found, summarize(df.select("stream_id"), found, mode, policy_version))
+
+
+def _log(state: DataFrame, part: int) -> DataFrame:
+    return state.select("stream_id", "event_index", "out_seq", F.lit(part).alias("part"), F.posexplode_outer("found").alias("seq", "v")).where("v is not null")
 
 
-def violations(state: DataFrame, mode: str, policy_version: str | None) -> DataFrame:
-    v = state.select("stream_id", "event_index", F.posexplode_outer("found").alias("seq", "v")).where("v is not null")
+def violations(logs: list[DataFrame], mode: str, policy_version: str | None) -> DataFrame:
+    """The violation log; seq counts an event's violations in the order they were found."""
+    from pyspark.sql import Window
+
+    v = logs[0]
+    for more in logs[1:]:
+        v = v.unionByName(more)
+    if len(logs) > 1:
+        v = v.withColumn("seq", F.row_number().over(Window.partitionBy("stream_id", "event_index").orderBy("part", "out_seq", "seq")) - 1)
     return v.select("stream_id", "event_index", "seq", "v.rule", "v.message", F.lit(mode).alias("mode"), F.lit(policy_version).cast("string").alias("policy_version"), "v.tool", "v.event")
 
 

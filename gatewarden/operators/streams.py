@@ -18,8 +18,9 @@ def chunked(df: DataFrame, text: str, stream: str, size: int) -> DataFrame:
 
 def reassemble(chunks: DataFrame) -> DataFrame:
     """(stream_id, body): the bytes of each stream in the order of its chunks."""
-    parts = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))).alias("p"))
-    return parts.select("stream_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["chunk"])).alias("body"))
+    # bytes as Latin-1 join in one step, whatever they are
+    parts = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.decode("chunk", "ISO-8859-1").alias("c")))).alias("p"))
+    return parts.select("stream_id", F.encode(F.array_join(F.transform("p", lambda x: x["c"]), ""), "ISO-8859-1").alias("body"))
 
 
 def guard_bytes(bodies: DataFrame, secrets: bool = True, errors: bool = False, patterns=(), placeholder: str = PLACEHOLDER, message: str = SAFE_ERROR) -> DataFrame:

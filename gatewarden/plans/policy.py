@@ -169,32 +169,39 @@ def resolve(doc, folder: str = ".", seen: tuple = ()):
 
 
 def _names(value, path: str):
-    if not isinstance(value, list) or not value or any(not isinstance(x, str) or not x for x in value):
-        yield PolicyError("POLICY_E008", path, "a list of tool names that are not empty is needed")
+    if not isinstance(value, list):
+        yield PolicyError("POLICY_E008", path, "a list of tool names is needed")
+    elif not value:
+        yield PolicyError("POLICY_E008", path, "the list is empty")
+    else:
+        yield from (PolicyError("POLICY_E008", f"{path}[{i}]", "a name is a string") for i, x in enumerate(value) if not isinstance(x, str))
 
 
 def _rule(rule, path: str):
-    if not isinstance(rule, dict) or len(rule) != 1 or next(iter(rule)) not in RULE_KEYS:
-        yield PolicyError("POLICY_E002", path, "a rule is an object with one known key")
+    if not isinstance(rule, dict) or len(rule) != 1:
+        yield PolicyError("POLICY_E002", path, "a rule is an object with one key")
         return
     key, p = next(iter(rule.items()))
     at = f"{path}.{key}"
-    if key in ("allowTools", "denyTools"):
-        yield from _names(p.get("names") if isinstance(p, dict) else p, at)
-    elif key == "maxToolArgsBytes":
-        n = p.get("max") if isinstance(p, dict) else p
-        if not isinstance(n, int) or isinstance(n, bool) or n <= 0:
-            yield PolicyError("POLICY_E002", at, "a positive whole number is needed")
+    if key not in RULE_KEYS:
+        yield PolicyError("POLICY_E002", at, f"unknown rule {key}")
     elif not isinstance(p, dict):
         yield PolicyError("POLICY_E002", at, "parameters are an object")
+    elif key in ("allowTools", "denyTools"):
+        yield from _names(p.get("names"), at + ".names")
+    elif key == "maxToolArgsBytes":
+        n = p.get("max")
+        if isinstance(n, bool) or not isinstance(n, (int, float)) or n != n // 1 or n <= 0:
+            yield PolicyError("POLICY_E002", at + ".max", "a positive whole number is needed")
     elif key == "redactSecrets" and not isinstance(p.get("placeholder", ""), str):
         yield PolicyError("POLICY_E002", at + ".placeholder", "a string is needed")
     elif key == "redactPII" and not (p.get("email") is True or p.get("phone") is True):
         yield PolicyError("POLICY_E004", at, "email or phone must be true")
     elif key == "blockToolArgs":
-        if ("pattern" in p) == ("contains" in p):
+        pattern = isinstance(p.get("pattern"), str)
+        if pattern == isinstance(p.get("contains"), str):
             yield PolicyError("POLICY_E007", at, "exactly one of pattern and contains is needed")
-        elif "pattern" in p and not (isinstance(p["pattern"], str) and compiles(p["pattern"])):
+        elif pattern and not compiles(p["pattern"]):
             yield PolicyError("POLICY_E003", at + ".pattern", "the regular expression does not compile")
 
 
@@ -202,49 +209,68 @@ def names_of(rule_params) -> list[str]:
     return list(rule_params.get("names", []) if isinstance(rule_params, dict) else rule_params)
 
 
+def _conflicts(found: list, mode: str):
+    """Of several lists of a kind the last one counts against the other kind."""
+    last = {k: names_of(r[k]) for r in found for k in r if k in ("allowTools", "denyTools")}
+    if both := [n for n in last.get("allowTools", ()) if n in last.get("denyTools", ())]:
+        yield PolicyError("POLICY_E009", "rules", f"allowed and denied: {', '.join(both)}")
+    if mode == "block" and any("allowTools" in r and not names_of(r["allowTools"]) for r in found):
+        yield PolicyError("POLICY_E010", "rules.allowTools.names", "an empty list denies all tools in block mode")
+
+
 def validate(doc) -> tuple[dict | None, list[PolicyError]]:
-    """(document with defaults, []) or (None, errors); all errors are collected."""
+    """(document with defaults, []) or (None, errors); all errors of shape are collected, then those between rules."""
     if not isinstance(doc, dict):
         return None, [PolicyError("POLICY_E001", "", "a policy is an object")]
     e = []
-    if "version" not in doc and "extends" not in doc or doc.get("version", "1") != "1":
+    if "version" not in doc and not doc.get("extends") or doc.get("version", "1") != "1":
         e.append(PolicyError("POLICY_E001", "version", 'version must be "1"'))
     if "mode" in doc and doc["mode"] not in MODES:
         e.append(PolicyError("POLICY_E002", "mode", "block, warn or audit"))
     byte = doc.get("byte", {})
-    if not isinstance(byte, dict) or any(k not in BYTE_KEYS or not isinstance(v, bool) for k, v in byte.items()):
-        e.append(PolicyError("POLICY_E002", "byte", "known boolean flags only"))
+    if not isinstance(byte, dict):
+        e.append(PolicyError("POLICY_E002", "byte", "an object is needed"))
+    else:
+        e += [PolicyError("POLICY_E002", f"byte.{k}", "a known flag, true or false") for k, v in byte.items() if k not in BYTE_KEYS or not isinstance(v, bool)]
     e += [PolicyError("POLICY_E002", k, "a string is needed") for k in ("extends", "policyVersion") if k in doc and not isinstance(doc[k], str)]
     found = doc.get("rules", [])
     if not isinstance(found, list):
         e.append(PolicyError("POLICY_E002", "rules", "a list is needed"))
     else:
-        for i, r in enumerate(found):
-            e += _rule(r, f"rules[{i}]")
-        if not e:
-            tools = {k: {n for r in found if k in r for n in names_of(r[k])} for k in ("allowTools", "denyTools")}
-            if both := sorted(tools["allowTools"] & tools["denyTools"]):
-                e.append(PolicyError("POLICY_E009", "rules", f"allowed and denied: {', '.join(both)}"))
-    return (None, e) if e else ({"version": "1", "mode": "block", "rules": [], **doc}, [])
+        e += [x for i, r in enumerate(found) for x in _rule(r, f"rules[{i}]")]
+    out = {"version": "1", "mode": "block", "rules": [], **{k: doc[k] for k in ("version", "mode", "rules", "policyVersion", "extends", "byte") if k in doc}}
+    e = e or list(_conflicts(out["rules"], out["mode"]))
+    return (None, e) if e else (out, [])
 
 
 # ---- comparison --------------------------------------------------------------------------------
 
 
+def _fields(d: dict) -> dict:
+    """What a comparison looks at, by path: fields (no byte flags at all are as good as none), then whole rules; the
+    last rule of a kind counts."""
+    fields = {k: d[k] for k in ("mode", "policyVersion", "extends") if d.get(k) is not None}
+    fields |= {"byte": d["byte"]} if d.get("byte") else {}
+    return fields | {f"rules.{k}": r for r in d.get("rules") or [] for k in r}
+
+
 def diff(a: dict, b: dict) -> list[dict]:
-    """Differences as {kind, path, before, after}: fields, then rules gone or changed in a's order, then new ones."""
-    out = []
-    same = lambda x, y: json.dumps(x) == json.dumps(y)
-    for k in ("mode", "policyVersion", "extends", "byte"):
-        if not same(a.get(k), b.get(k)):
-            out.append({"kind": "changed" if k in a and k in b else "added" if k in b else "removed", "path": k, "before": a.get(k), "after": b.get(k)})
-    left, right = ({k: v for r in d.get("rules") or [] for k, v in r.items()} for d in (a, b))
-    for k, v in left.items():
-        if k not in right:
-            out.append({"kind": "removed", "path": f"rules.{k}", "before": v, "after": None})
-        elif not same(v, right[k]):
-            out.append({"kind": "changed", "path": f"rules.{k}", "before": v, "after": right[k]})
-    return out + [{"kind": "added", "path": f"rules.{k}", "before": None, "after": v} for k, v in right.items() if k not in left]
+    """Differences as {kind, path, before, after}: fields, then rules gone or changed in a's order, then new ones.
+
+    Fields are always "changed", be they new or gone; a rule stands with its key.
+    """
+    x, y = _fields(a), _fields(b)
+    fields = ("mode", "policyVersion", "extends", "byte")
+    paths = [*(k for k in fields if k in x or k in y), *(k for k in x if k not in fields), *(k for k in y if k not in fields and k not in x)]
+    kind = lambda k: "changed" if k in fields or (k in x and k in y) else "removed" if k in x else "added"
+    value = lambda d, f, k: d.get(k) if k in fields else f.get(k)
+    return [{"kind": kind(k), "path": k, "before": value(a, x, k), "after": value(b, y, k)} for k in paths if json.dumps(x.get(k)) != json.dumps(y.get(k))]
+
+
+def document_table(spark, policies: dict[str, dict]):
+    """(policy, path, value, place): the compared fields of named documents, as JSON."""
+    rows = [(name, k, json.dumps(v), i) for name, d in policies.items() for i, (k, v) in enumerate(_fields(d).items())]
+    return spark.createDataFrame(rows, "policy string, path string, value string, place int")
 
 
 def diff_text(entries) -> str:
@@ -266,7 +292,7 @@ def compile_rule(key: str, p):
             raise ValueError("blockToolArgs: contains is empty")
         return R.block_tool_args(R.Pattern(p["pattern"]) if "pattern" in p else R.Contains(p["contains"]))
     if key == "maxToolArgsBytes":
-        return R.max_tool_args_bytes(p["max"] if isinstance(p, dict) else p)
+        return R.max_tool_args_bytes(int(p["max"]))
     return R.sanitize_errors()
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +11,9 @@ from .operators import audit as A
 from .operators import rules as R
 from .operators.pipeline import executed_tools, guard_events
 from .operators.streams import chunked, guard_bytes, reassemble
-from .plans.policy import Guard, merge, rules_table
-from .sources.files import detect_format, is_binary, parse_manifest, scan_tables
-from .testbed import chat_events, nation_manifests, table, text_events, tool_events
+from .plans.policy import PROFILES, Guard, document_table, merge, rules_table
+from .sources.files import detect_format, is_binary, manifests, scan_tables
+from .testbed import agent_events, chat_events, nation_manifests, shared_folder, table, text_events, tool_events
 
 TOOLS = ["click", "view", "purchase"]
 HEX_TOKEN = r"[0-9a-f]{40}"
@@ -38,15 +35,10 @@ def _texts(rules, text=None):
     return lambda s, d: guard_events(text_events(s, d, text() if text else None), rules).events.select("stream_id", "text")
 
 
-#: Characters of a text that follow the secrets where the SQL twin shows the text itself: the twin is given.
-HEAD = 200
-
-
-def _synthetic(most: int | None = None):
-    """Texts with every kind of built-in secret, from the id, before the whole text or its first ``most`` characters."""
-    text = F.col("text") if most is None else F.substring("text", 1, most)
+def _synthetic():
+    """Whole texts behind every kind of built-in secret, from the id."""
     i = F.lpad(F.col("doc_id").cast("string"), 10, "0")
-    return F.concat(F.lit("key sk-test-"), i, F.lit(" Bearer tok"), i, F.lit(" ghp_"), i, i, F.lit(" github_pat_"), i, i, F.lit(" AKIA"), i, F.lit("ABCDEF eyJa"), i, F.lit(".eyJb."), i, F.lit(" end\n"), text)
+    return F.concat(F.lit("key sk-test-"), i, F.lit(" Bearer tok"), i, F.lit(" ghp_"), i, i, F.lit(" github_pat_"), i, i, F.lit(" AKIA"), i, F.lit("ABCDEF eyJa"), i, F.lit(".eyJb."), i, F.lit(" end\n"), F.col("text"))
 
 
 def _pipeline(mode):
@@ -87,7 +79,7 @@ def agent_loop(s, d) -> DataFrame:
 
 def _bytes(secrets, errors):
     def run(s, d):
-        docs = table(s, d, "documents").select("doc_id", F.concat(F.lit('{"message": "failed at /srv", "n": 1}\n'), _synthetic(HEAD)).alias("text"))
+        docs = table(s, d, "documents").select("doc_id", F.concat(F.lit('{"message": "failed at /srv", "n": 1}\n'), _synthetic()).alias("text"))
         body = reassemble(chunked(docs, "text", "doc_id", 37))
         return guard_bytes(body, secrets, errors).select("stream_id", F.decode("body", "UTF-8").alias("body"))
 
@@ -100,11 +92,12 @@ def sse_normalize(s, d) -> DataFrame:
 
 
 def _files(s, d) -> DataFrame:
-    """Documents as files of all formats; some hold a zero byte."""
+    """Whole documents as files of all formats; some hold a zero byte."""
     i = F.col("doc_id")
-    event = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.lit("done").alias("phase"), F.concat(F.lit("mail a@b.co sk-test-12345678 "), i.cast("string")).alias("text"))))
-    docs = table(s, d, "documents").where(F.col("doc_id").isNotNull())
-    text = F.when(i % 4 == 0, event).when(i % 4 == 1, F.concat(F.lit('{"type":"error","message":"at /srv"}\n\n{"type":"text","phase":"delta","text":"n '), i.cast("string"), F.lit('"}\n'))).when(i % 4 == 2, F.concat(F.lit("data: sk-test-12345678\n"), _synthetic())).otherwise(F.when(i % 8 == 3, F.concat(F.lit("a\x00b"), "text")).otherwise(F.col("text")))
+    docs = table(s, d, "documents").where("doc_id is not null")
+    event = lambda phase, head: F.to_json(F.struct(F.lit("text").alias("type"), F.lit(phase).alias("phase"), F.concat(F.lit(head), i.cast("string"), F.lit(" "), F.col("text")).alias("text")))
+    text = F.when(i % 4 == 0, F.concat(F.lit("["), event("done", "mail a@b.co sk-test-12345678 "), F.lit("]"))).when(i % 4 == 1, F.concat(F.lit('{"type":"error","message":"at /srv"}\n\n'), event("delta", "n "), F.lit("\n")))
+    text = text.when(i % 4 == 2, F.concat(F.lit("data: sk-test-12345678\n"), _synthetic())).otherwise(F.when(i % 8 == 3, F.concat(F.lit("a\x00b"), "text")).otherwise(F.col("text")))
     name = F.concat(F.lit("f/"), i.cast("string"), F.when(i % 4 == 0, ".json").when(i % 4 == 1, ".jsonl").when(i % 4 == 2, ".sse").otherwise(".txt"))
     f = docs.select(name.alias("file"), text.alias("text"))
     return f.select("*", is_binary(F.encode("text", "UTF-8")).alias("zero_byte"), detect_format(F.col("file"), F.col("text")).alias("format"))
@@ -119,15 +112,14 @@ def _scan(s, d):
 
 def _drift(code, strict=False):
     def run(s, d):
-        m = nation_manifests(s, d)
-        f = A.drift(A.declared_tools(m), m, A.tool_sets(rules_table(s, POLICIES)))
+        f = A.drift(nation_manifests(s, d), POLICIES)
         return (A.strict(f) if strict else f.where(F.col("code") == code)).select("file", "policy", "tool", "code", "severity", "message")
 
     return run
 
 
 def _static(s, d):
-    return A.static_scan(nation_manifests(s, d), rules_table(s, POLICIES), [("p1", r"rm\s+-rf", None), ("p2", None, "curl")])
+    return A.static_scan(nation_manifests(s, d), POLICIES)
 
 
 def dangerous_patterns(s, d) -> DataFrame:
@@ -137,12 +129,12 @@ def dangerous_patterns(s, d) -> DataFrame:
 
 def block_args_static(s, d) -> DataFrame:
     strings = nation_manifests(s, d).select("file", F.inline("strings"))
-    return A.block_args_static(strings, [("p1", r"rm\s+-rf", None), ("p2", None, "curl")]).select("file", "field", "line", "policy", "severity")
+    return A.block_args_static(strings, A.matchers(POLICIES)).select("file", "field", "line", "policy", "severity")
 
 
 def policy_diff(s, d) -> DataFrame:
-    t = rules_table(s, {"a": BASE, "b": OVER})
-    return A.policy_diff(t.where("policy = 'a'"), t.where("policy = 'b'")).select("kind", "key", "before", "after")
+    t = document_table(s, {"a": BASE, "b": OVER})
+    return A.policy_diff(t.where("policy = 'a'"), t.where("policy = 'b'")).select("kind", "path", "before", "after")
 
 
 def policy_merge(s, d) -> DataFrame:
@@ -150,26 +142,73 @@ def policy_merge(s, d) -> DataFrame:
 
 
 def manifest_strings(s, d) -> DataFrame:
-    doc = json.dumps({"version": "1", "tools": [{"name": "t", "description": "one"}, {"name": "u", "examples": ["two", {"k": "rm -rf"}]}]}, indent=1)
-    _, tools, strings, _ = parse_manifest("m.json", doc)
-    return s.createDataFrame([(f, v, n) for f, v, n in strings], "field string, value string, line int")
+    """Strings and lines of a manifest text for each region: a line a nation, some without a name."""
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    entry = F.concat(F.lit("  {"), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit('"name": "'), "n_name", F.lit('", '))).otherwise(""), F.lit('"description": "about '), "n_name", F.lit('", "examples": ["one", {"k": "rm -rf '), "n_name", F.lit('"}]}'))
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", entry.alias("e")))).alias("x"))
+    text = F.concat(F.lit('{\n "version": "1",\n "tools": [\n'), F.array_join(F.transform("x", lambda x: x["e"]), ",\n"), F.lit("\n ]\n}"))
+    return manifests(rows.select(F.concat("r_name", F.lit(".json")).alias("file"), text.alias("text"))).select("file", F.size("tools").alias("n_tools"), F.inline("strings"))
+
+
+def _live(stream: DataFrame, guard, schema: str) -> DataFrame:
+    """What a live guard makes of a table whose rows come as files, in no order."""
+    from .streaming.guard import run_available
+
+    s, tmp = stream.sparkSession, shared_folder(stream.sparkSession)
+    stream.repartition(4).write.parquet(f"{tmp}/in")
+    live = s.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp}/in")
+    run_available(guard(live), f"{tmp}/out", f"{tmp}/state")
+    return s.read.parquet(f"{tmp}/out")
 
 
-def stream_bytes(s, d) -> DataFrame:
+def _stream_bytes(head: str, secrets: bool = True, errors: bool = False):
     """Chunks of documents as files of a stream; the last chunk of each is marked."""
-    from pyspark.sql import Window
 
-    from .streaming.guard import guard_byte_stream, run_available
+    def run(s, d):
+        from .streaming.guard import guard_byte_stream
+
+        size = 997
+        c = chunked(table(s, d, "documents").select("doc_id", F.concat(F.lit(head), _synthetic()).alias("text")), "text", "doc_id", size)
+        # a text of whole chunks ends with an empty one
+        last = F.octet_length("chunk") < size
+        full = c.groupBy("stream_id").agg(F.max("chunk_index").alias("i"), F.min(F.octet_length("chunk")).alias("n")).where(f"n = {size}")
+        c = c.unionByName(full.select("stream_id", (F.col("i") + 1).alias("chunk_index"), F.lit(b"").alias("chunk")))
+        out = _live(c.select("*", last.alias("is_last")), lambda live: guard_byte_stream(live, secrets, errors), "stream_id long, chunk_index long, chunk binary, is_last boolean")
+        return reassemble(out).select("stream_id", F.decode("body", "UTF-8").alias("body"))
+
+    return run
+
+
+def stream_tool_bytes(s, d) -> DataFrame:
+    from .streaming.guard import guard_tool_stream
+
+    e = tool_events(s, d).select("stream_id", "event_index", "type", "phase", "id", "name", "args_text")
+    tmp = shared_folder(s)
+    e.write.parquet(f"{tmp}/in")
+    live = s.readStream.schema("stream_id long, event_index long, type string, phase string, id string, name string, args_text string").parquet(f"{tmp}/in")
+    from .streaming.guard import run_available
+
+    run_available(guard_tool_stream(live, 40), f"{tmp}/out", f"{tmp}/state")
+    return s.read.parquet(f"{tmp}/out")
+
+
+def canonical_json_values(s, d) -> DataFrame:
+    """Numbers, keys and signs that a runtime writes in its own way, around the k of each event."""
+    k = F.get_json_object("props", "$.k")
+    odd = F.concat(F.lit('{ "b": '), k, F.lit('.50, "10": 1e-7, "2": 0.00001, "a": "\\ud800", "b": '), k, F.lit('e21, "n": [12345678901234567890, -0, 1.0, 1e400], "s": "\\u00e9\\u0001"}'))
+    return table(s, d, "events").select("event_id", canonical_json(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit('{"x": NaN, "k": '), k, F.lit("}"))).otherwise(odd)).alias("json"))
+
+
+def _profile(name):
+    return lambda s, d: Guard.from_policy(name).guard(agent_events(s, d)).events.select(*OUT)
+
+
+def _double(df: DataFrame) -> DataFrame:
+    return df.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_i")).withColumn("out_seq", F.col("out_seq") * 2 + F.col("_i")).drop("_i")
+
 
-    tmp = tempfile.mkdtemp() if s.sparkContext.master.startswith("local[") else s.conf.get("spark.checkpoint.dir") + "/stream"
-    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("x "), _synthetic(HEAD)).alias("text"))
-    c = chunked(docs, "text", "doc_id", 37)
-    last = F.lead("chunk_index").over(Window.partitionBy("stream_id").orderBy("chunk_index")).isNull()
-    c.select("*", last.alias("is_last")).write.mode("overwrite").parquet(f"{tmp}/in")
-    live = s.readStream.schema("stream_id long, chunk_index long, chunk binary, is_last boolean").parquet(f"{tmp}/in")
-    run_available(guard_byte_stream(live), f"{tmp}/out", f"{tmp}/state")
-    body = reassemble(s.read.parquet(f"{tmp}/out"))
-    return body.select("stream_id", F.decode("body", "UTF-8").alias("body"))
+def _custom_log(first, custom, mode):
+    return lambda s, d: guard_events(tool_events(s, d), [first, R.custom(custom), R.sanitize_errors()], mode).violations.select("stream_id", "event_index", "seq", "rule", "message")
 
 
 def guard_policy(mode):
@@ -183,11 +222,13 @@ def guard_policy(mode):
 QUERIES = {
     "events_passthrough": _tools([], "warn"),
     "custom_transform": _tools([R.custom(lambda df: df.where("event_index % 2 = 0"))], "warn"),
+    "custom_drop_log": _custom_log(R.allow_tools(TOOLS), lambda df: df.where("event_index % 2 = 0"), "block"),
+    "custom_expand_log": _custom_log(R.deny_tools(["click"]), _double, "audit"),
     "redact_pii_email": _texts([R.redact_pii(email=True)]),
     "redact_pii_phone": _texts([R.redact_pii(phone=True)]),
     "redact_pii_both": _texts([R.redact_pii(True, True)]),
     "redact_counts": redact_counts,
-    "redact_secrets_builtin": _texts([R.redact_secrets()], lambda: _synthetic(HEAD)),
+    "redact_secrets_builtin": _texts([R.redact_secrets()], _synthetic),
     "redact_secrets_custom_pattern": _texts([R.redact_secrets((HEX_TOKEN,))]),
     "redact_placeholder": _texts([R.redact_secrets((HEX_TOKEN,), "<$1\\>")]),
     "redact_idempotent": redact_idempotent,
@@ -211,9 +252,14 @@ QUERIES = {
     "byte_redact_rechunk": _bytes(True, False),
     "byte_sanitize": _bytes(False, True),
     "byte_combined": _bytes(True, True),
-    "stream_byte_redact": stream_bytes,
+    "stream_byte_redact": _stream_bytes("x "),
+    "stream_byte_combined": _stream_bytes('{"message": "failed at /srv", "n": 1}\n', True, True),
+    "stream_tool_bytes": stream_tool_bytes,
     "sse_normalize": sse_normalize,
     "canonical_json": lambda s, d: table(s, d, "events").select("event_id", canonical_json(F.col("props")).alias("json")),
+    "canonical_json_values": canonical_json_values,
+    **{f"pipeline_{n.replace('-', '_')}": _profile(n) for n in PROFILES},
+    "scan_binary_skip": lambda s, d: _files(s, d).select("file", "zero_byte"),
     "scan_format_detect": lambda s, d: _files(s, d).groupBy("format", "zero_byte").agg(F.count("*").alias("n")),
     "scan_report_detail": lambda s, d: _scan(s, d)[0].select("file", "rule", "message", "mode", "policy_version"),
     "scan_report_summary": lambda s, d: _scan(s, d)[1],
@@ -225,6 +271,7 @@ QUERIES = {
     "block_args_static": block_args_static,
     "static_summary": lambda s, d: A.static_summary(nation_manifests(s, d), _static(s, d)),
     "sarif_rules": lambda s, d: A.sarif_rules(s, _static(s, d)),
+    "sarif_results": lambda s, d: A.sarif_results(_static(s, d)).select("result"),
     "annotations": lambda s, d: A.annotations(_static(s, d)).select("annotation"),
     "report_lines": lambda s, d: A.report_lines(_static(s, d)).select("row"),
     "policy_diff": policy_diff,

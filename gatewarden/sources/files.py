@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,17 +18,38 @@ EVENT_JSON = "struct<type:string,phase:string,text:string,id:string,name:string,
 
 
 def read_files(spark: SparkSession, paths, skip=SKIP_DIRS) -> DataFrame:
-    """(file, content) of all files below ``paths``; folders of ``skip`` and missing paths are left out."""
-    found = [p for p in ([paths] if isinstance(paths, str) else paths) if _exists(spark, p)]
-    if not found:
-        return spark.createDataFrame([], "file string, content binary")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found).select(F.col("path").alias("file"), "content")
-    return df.where(~F.exists(F.split("file", "/"), lambda x: x.isin(*skip))) if skip else df
+    """(file, rel, content) of all files below ``paths``; rel is the path below its root.
+
+    Names of ``skip`` below a root are left out, as are missing paths; "-" is standard input.
+    """
+    out = None
+    for p in [paths] if isinstance(paths, str) else paths:
+        if p == "-":
+            part = spark.createDataFrame([("-", "-", bytearray(sys.stdin.buffer.read()))], "file string, rel string, content binary")
+        elif not exists(spark, p):
+            continue
+        else:
+            root = _qualified(spark, p)
+            rel = F.when(F.col("path") == root, F.element_at(F.split("path", "/"), -1)).otherwise(F.substring("path", len(root) + (not root.endswith("/")) + 1, 1 << 20))
+            part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select(F.col("path").alias("file"), rel.alias("rel"), "content")
+            part = part.where(~F.exists(F.split("rel", "/"), lambda x: x.isin(*skip)) | (F.col("file") == root)) if skip else part
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "file string, rel string, content binary") if out is None else out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return path == "-" or fs.exists(p)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    p, fs = _path(spark, path)
+    return fs.makeQualified(p).toString()
 
 
 def is_binary(content: Column) -> Column:
@@ -92,8 +113,8 @@ _SCANNED = ("description", "examples", "args")
 
 def manifest_path(rel: Column) -> Column:
     """Paths that name a tool manifest."""
-    low = F.lower(rel)
-    return rel.rlike(r"(^|/)tools/manifest\.json$") | low.rlike(r"agent\.tools\.ya?ml$") | low.rlike(r"/tools/[^/]+\.(json|ya?ml)$") | (low.rlike(r"/?tools[^/]*\.json$") & low.contains("tools"))
+    named = (rel == "tools/manifest.json") | rel.endswith("/tools/manifest.json") | rel.endswith("agent.tools.yaml") | rel.endswith("agent.tools.yml")
+    return named | rel.rlike(r"/tools/[^/]+\.(json|yaml|yml)$") | (rel.rlike(r"(?i)tools.*\.json$") & rel.contains("tools"))
 
 
 def _strings(value, path: str):
@@ -107,40 +128,86 @@ def _strings(value, path: str):
             yield from _strings(v, f"{path}.{k}")
 
 
-def _tool(t) -> str | None:
-    if isinstance(t, str):
-        return t or None
-    name = t.get("name") if isinstance(t, dict) else None
-    if not name and isinstance(t, dict) and isinstance(t.get("function"), dict):
+def _entries(x) -> list:
+    return [t for t in x if isinstance(t, (dict, list))] if isinstance(x, list) else []
+
+
+def _name(t) -> str | None:
+    if not isinstance(t, dict):
+        return None
+    name = t.get("name")
+    if name is None and isinstance(t.get("function"), dict):
         name = t["function"].get("name")
     return name if isinstance(name, str) and name else None
 
 
+def _read(text: str, file: str):
+    return parse_yaml(text) if file.lower().endswith((".yaml", ".yml")) else json.loads(text)
+
+
 def parse_manifest(file: str, text: str) -> tuple:
-    """(file, tools, strings with lines, error)."""
+    """(file, tools, strings with lines, error); the strings of entries without a name count too."""
     try:
-        doc = parse_yaml(text) if file.lower().endswith((".yaml", ".yml")) else json.loads(text)
+        doc = _read(text, file)
         if not isinstance(doc, (dict, list)):
-            raise ValueError("manifest is not an object")
+            raise ValueError(f"Invalid manifest document: {file}")
     except Exception as e:  # whatever a parser says becomes a finding
         return file, [], [], str(e) or "Failed to parse manifest"
     doc = doc if isinstance(doc, dict) else {}
-    tools = [t for t in doc.get("tools") or [] if _tool(t)] if isinstance(doc.get("tools"), list) else []
-    if not tools:
-        more = [(doc.get("components") or {}).get("x-tools")] if isinstance(doc.get("components"), dict) else []
-        more += [op.get("x-tools") for item in (doc.get("paths") or {}).values() if isinstance(item, dict) for op in item.values() if isinstance(op, dict)] if isinstance(doc.get("paths"), dict) else []
-        tools = [t for x in more if isinstance(x, list) for t in x if _tool(t)]
+    entries = _entries(doc.get("tools"))
+    if not any(map(_name, entries)):
+        components, paths = doc.get("components"), doc.get("paths")
+        more = [components.get("x-tools")] if isinstance(components, dict) else []
+        more += [op.get("x-tools") for item in paths.values() if isinstance(item, dict) for op in item.values() if isinstance(op, dict)] if isinstance(paths, dict) else []
+        # there a tool's name is its own, not that of a function
+        entries += [t if not isinstance(t, dict) else {k: v for k, v in t.items() if k != "function"} for x in more for t in _entries(x)]
     found, at = [], 0
-    for t in tools:
+    for t in entries:
         if not isinstance(t, dict):
             continue
-        fields = [(k, t.get(k)) for k in _SCANNED] + [("inputSchema.default", (t.get("inputSchema") or {}).get("default") if isinstance(t.get("inputSchema"), dict) else None)]
-        for k, v in fields:
+        schema = t.get("inputSchema")
+        for k, v in [*((k, t.get(k)) for k in _SCANNED), ("inputSchema.default", schema.get("default") if isinstance(schema, dict) else None)]:
             for field, s in _strings(v, k):
                 i = text.find(s, at)  # lines are sought forward only
                 found.append((field, s, text.count("\n", 0, i) + 1 if i >= 0 else None))
                 at = i + len(s) if i >= 0 else at
-    return file, [_tool(t) for t in tools], found, None
+    return file, [n for n in map(_name, entries) if n], found, None
+
+
+def validate_manifest(doc) -> list[tuple[str, str]]:
+    """(path, message) of what keeps a document from being a version 1 manifest."""
+    if not isinstance(doc, (dict, list)):
+        return [("", "Manifest must be a JSON object")]
+    doc = doc if isinstance(doc, dict) else {}
+    e = [] if doc.get("version") == "1" else [("version", 'Expected version "1"')]
+    tools = doc.get("tools")
+    if not isinstance(tools, list):
+        return [*e, ("tools", "tools must be an array")]
+    e += [] if tools else [("tools", "tools must not be empty")]
+    for i, t in enumerate(tools):
+        if not isinstance(t, (dict, list)):
+            e.append((f"tools[{i}]", "tool entry must be an object"))
+        elif not (isinstance(t, dict) and isinstance(t.get("name"), str) and t["name"]):
+            e.append((f"tools[{i}].name", "name must be a non-empty string"))
+    return e
+
+
+def manifest_errors(files: DataFrame) -> DataFrame:
+    """(file, path, message): what is wrong with the manifests of (file, text) rows."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for file, text in zip(pdf["file"], pdf["text"]):
+                try:
+                    rows += [(file, *e) for e in validate_manifest(_read(text, file))]
+                except Exception as e:  # whatever a parser says
+                    rows.append((file, "", str(e)))
+            yield pd.DataFrame(rows, columns=["file", "path", "message"])
+
+    return files.select("file", "text").mapInPandas(run, "file string, path string, message string")
 
 
 def manifests(files: DataFrame) -> DataFrame:
@@ -156,15 +223,19 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, MANIFEST)
 
 
-def manifest_files(spark: SparkSession, root: str, include=(), exclude=()) -> DataFrame:
-    """(file, text) of the manifests below ``root``, by path prefixes."""
-    files = read_files(spark, root)
-    rel = F.regexp_replace("file", f"^.*?{os.path.basename(root.rstrip('/'))}/", "")
-    files = files.select("file", rel.alias("rel"), F.decode("content", "UTF-8").alias("text")).where(manifest_path(F.concat(F.lit("/"), F.col("rel"))))
-    for kept, names in ((True, include), (False, exclude)):
+#: Fixed value: what a walk leaves out besides what it is told to.
+DEFAULT_EXCLUDE = ("test/fixtures/policies/invalid",)
+
+
+def manifest_files(spark: SparkSession, root: str, include=(), exclude=(), manifest: str | None = None) -> DataFrame:
+    """(file, text) of the manifests below ``root`` by whole path prefixes, or of the one file that is named."""
+    if manifest:
+        return read_files(spark, manifest).select("file", F.decode("content", "UTF-8").alias("text"))
+    files = read_files(spark, root).where(manifest_path(F.col("rel")))
+    for kept, names in ((True, tuple(include)), (False, (*DEFAULT_EXCLUDE, *exclude))):
         if names:
             hit = F.lit(False)
-            for n in names:
-                hit = hit | F.col("rel").startswith(n.rstrip("/"))
+            for n in (n.removesuffix("/") for n in names):
+                hit = hit | (F.col("rel") == n) | F.col("rel").startswith(n + "/")
             files = files.where(hit if kept else ~hit)
-    return files.select("file", "text")
+    return files.select("file", F.decode("content", "UTF-8").alias("text"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,35 @@ def tool_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def agent_events(spark: SparkSession, d: str) -> DataFrame:
+    """The same with an agent's tools; some calls hold a dangerous command, some a secret."""
+    e = tool_events(spark, d)
+    name = F.when(F.col("name") == "click", "search").when(F.col("name") == "view", "bash").when(F.col("name") == "purchase", "read_file").otherwise(F.col("name"))
+    args = F.when(F.col("event_index") % 7 == 3, '{"cmd": "rm  -rf /"}').when(F.col("event_index") % 5 == 1, '{"key":"sk-test-12345678"}').otherwise(F.col("args_text"))
+    return e.withColumns({"name": name, "args_text": F.when(F.col("type") == "tool_call", args)})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, removed when the driver ends; a temporary one only in local runs
+    where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="gatewarden-")
+    path = f"{where.rstrip('/')}/guard-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
 def text_events(spark: SparkSession, d: str, text=None) -> DataFrame:
     docs = table(spark, d, "documents")
     return as_events(docs.select(F.col("doc_id").alias("stream_id"), F.lit(0).alias("event_index"), F.lit("text").alias("type"), F.lit("done").alias("phase"), (F.col("text") if text is None else text).alias("text")))

@@ -1,7 +1,7 @@
 import json
 
 from gatewarden.operators import audit as A
-from gatewarden.plans.policy import PROFILES, Guard, rules_table
+from gatewarden.plans.policy import PROFILES, Guard
 from gatewarden.sources import files as S
 
 
@@ -24,15 +24,14 @@ def test_scan_of_files(spark, tmp_path):
 
 def test_manifests(spark):
     v1 = json.dumps({"version": "1", "tools": [{"name": "search", "description": "ok"}, {"name": "bash", "examples": ["rm -rf /", {"k": "`ls`"}]}]}, indent=1)
-    api = json.dumps({"components": {"x-tools": [{"function": {"name": "f"}}]}})
+    api = json.dumps({"components": {"x-tools": [{"name": "f"}]}})
     yml = "tools:\n  - name: y\n    description: d\n"
     rows = [("a.json", v1), ("b.json", api), ("c.yaml", yml), ("d.json", "{"), ("e.json", "[]")]
     m = S.manifests(spark.createDataFrame(rows, "file string, text string")).persist()
     got = {r["file"]: r for r in m.collect()}
     assert [got[f]["tools"] for f, _ in rows] == [["search", "bash"], ["f"], ["y"], [], []] and got["d.json"]["error"]
     assert [(s["field"], s["line"]) for s in got["a.json"]["strings"]] == [("description", 6), ("examples[0]", 11), ("examples[1].k", 13)]
-    rules = rules_table(spark, {"g": PROFILES["agent-gate"], "p": PROFILES["proxy-strict"]})
-    f = A.static_scan(m, rules, [("p", r"rm\s+-rf|curl\s+.*\|", None)]).persist()
+    f = A.static_scan(m, {"g": PROFILES["agent-gate"], "p": PROFILES["proxy-strict"]}).persist()
     codes = sorted(r["code"] for r in f.where("file = 'a.json'").collect())
     assert codes == ["BLOCK_ARGS_STATIC", "D002", "D003", "DRIFT_ALLOW", "DRIFT_DENY", "DRIFT_POLICY_ONLY", "DRIFT_POLICY_ONLY"]
     assert [r["code"] for r in f.where("file = 'd.json'").collect()] == ["MANIFEST_PARSE_ERROR"]
@@ -52,5 +51,5 @@ def test_manifest_paths(spark):
 
 def test_clean_audit_has_no_rules(spark):
     m = spark.createDataFrame([("a.json", ["t"], [], None)], S.MANIFEST)
-    f = A.static_scan(m, rules_table(spark, {"p": {"rules": [{"allowTools": {"names": ["t"]}}]}}), [])
+    f = A.static_scan(m, {"p": {"rules": [{"allowTools": {"names": ["t"]}}]}})
     assert f.count() == 0 and A.sarif(spark, f)["runs"][0]["tool"]["driver"]["rules"] == []
