@@ -173,9 +173,11 @@ def format_chats(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     edges = edges.join(tools.select(F.col("node").alias("a")), "a", "left_semi").distinct()
     levels = _levels(tools.select("node"), edges, scratch)
     known = tools.join(tools.select(F.col("node").alias("other"), F.lit(True).alias("linked")), "other", "left").join(levels, "node", "left").select(F.col("node").alias("_n"), "linked", "level")
-    rows = rows.select("*", F.when(F.col("kind") != "text", node(F.substring("kind", 1, 1), F.col("call_id"))).alias("_n")).join(known, "_n", "left")
-    text = F.col("kind") == "text"
-    return rows.select("conv_id", "turn", "role", "kind", "call_id", "name", "valid", F.when(~text, F.coalesce("linked", F.lit(False))).alias("linked"), F.when(text, F.lit(0)).otherwise(F.col("level")).alias("level"), "json")
+    out = ["conv_id", "turn", "role", "kind", "call_id", "name", "valid", "linked", "level", "json"]
+    # texts, which have no identifier, stay out of the join
+    met = rows.where("kind <> 'text'").withColumn("_n", node(F.substring("kind", 1, 1), F.col("call_id"))).join(known, "_n", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    texts = rows.where("kind = 'text'").withColumns({"linked": F.lit(None).cast("boolean"), "level": F.lit(0)})
+    return met.select(*out).unionByName(texts.select(*out))
 
 
 _ARGUMENTS = {"query": {"type": "string"}, "size": {"type": "integer"}, "after": {"type": "object", "required": ["$ref"], "properties": {"$ref": {"type": "string"}}}}
