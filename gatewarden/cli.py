@@ -26,10 +26,6 @@ def _document(path: str) -> dict:
         return P.resolve(P.parse_policy(f.read(), path), os.path.dirname(path))
 
 
-def _matchers(name: str, doc: dict):
-    return [(name, v.get("pattern"), v.get("contains")) for r in doc.get("rules") or [] for k, v in r.items() if k == "blockToolArgs"]
-
-
 def _audit(a) -> int:
     from .operators import audit as A
     from .sources import files as S
@@ -38,54 +34,113 @@ def _audit(a) -> int:
     paths = list(a.policy or [])
     if a.policy_dir:
         paths += sorted(os.path.join(a.policy_dir, f) for f in os.listdir(a.policy_dir) if f.endswith((".json", ".yaml", ".yml")))
+    if not S.exists(spark, a.manifest or a.root):
+        raise FileNotFoundError(a.manifest or a.root)
     docs = {p: _document(p) for p in paths}
-    m = S.manifests(S.manifest_files(spark, a.root, a.include or (), a.exclude or ()))
+    files = S.manifest_files(spark, a.root, a.include or (), a.exclude or (), a.manifest)
     if a.what == "validate-manifest":
-        bad = m.where("error is not null").collect()
-        print("\n".join(f"{r['file']}: {r['error']}" for r in bad) or "valid")
+        bad = S.manifest_errors(files).orderBy("file", "path").collect()
+        print("\n".join(f"{r['file']}: {r['path']}: {r['message']}" if r["path"] else f"{r['file']}: {r['message']}" for r in bad) or "valid")
         return int(bool(bad))
-    found = A.static_scan(m, P.rules_table(spark, docs), [x for n, d in docs.items() for x in _matchers(n, d)])
+    # the findings are read by people: they are made once and kept
+    m = S.manifests(files).persist()
+    found = A.static_scan(m, docs)
     if a.what == "drift":
         found = found.where("kind = 'drift'")
-    if a.strict:
-        found = A.strict(found)
+    found = (A.strict(found) if a.strict else found).persist()
+    version = next((d.get("policyVersion") for d in docs.values()), None)
+    s = A.static_summary(m, found, a.mode or "audit", version).first()
     if a.format == "sarif":
         print(json.dumps(A.sarif(spark, found), indent=1))
+    elif a.format == "json":
+        rows = A.report_lines(found)
+        print(json.dumps({"summary": s.asDict(), "findings": [r["row"] for r in rows.orderBy(*rows.columns[:-1]).collect()]}))
     else:
-        rows = (A.annotations if a.format == "github" else A.report_lines)(found)
-        print("\n".join(r[-1] for r in rows.orderBy(*rows.columns[:-1]).collect()) or "No findings.")
-    s = A.static_summary(m, found).first()
+        rows = A.annotations(found) if a.format == "github" else A.report_lines(found, a.quiet)
+        lines = [r[-1] for r in rows.orderBy(*rows.columns[:-1]).collect()]
+        head = [] if a.quiet or a.format == "github" else [f"Static audit: {s['manifests']} manifest(s), {s['tools_declared']} tool(s)"]
+        print("\n".join(head + (lines or ([] if a.quiet else ["No findings."]))))
+    found.unpersist()
+    m.unpersist()
     return int((s["errors_strict"] if a.strict else s["errors"]) > 0)
 
 
+def _scan(a) -> int:
+    from .sources.files import exists, report_text, scan_files
+
+    spark, guard = _session(), P.Guard.from_policy(a.policy, a.mode)
+    for path in a.paths:
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+    detail, summary = scan_files(spark, a.paths, guard, a.format or (a.stdin_format if "-" in a.paths else None))
+    detail = detail.persist()
+    n = summary.first()
+    if a.json:
+        print(json.dumps({"summary": n.asDict(), "violations": [r.asDict() for r in detail.collect()]}))
+    else:
+        print("\n".join(report_text(detail, summary, guard)))
+    detail.unpersist()
+    return int(n["violations"] > 0)
+
+
+def _doctor(a) -> int:
+    import pyspark
+
+    found = {"python": sys.version.split()[0], "pyspark": pyspark.__version__}
+    if a.policy:
+        guard = P.Guard.from_policy(a.policy)
+        found |= {"policy": a.policy, "mode": guard.mode, "rules": len(guard.rules)}
+    print(json.dumps(found) if a.json else ", ".join(f"{k} {v}" for k, v in found.items()))
+    return 0
+
+
+def _profiles(a) -> int:
+    if a.words[:1] == ["show"] and len(a.words) == 2:
+        print(json.dumps(P.PROFILES[a.words[1]], indent=1))
+    elif a.words in ([], ["list"]):
+        print("\n".join(P.PROFILES))
+    elif len(a.words) == 1:
+        print(json.dumps(P.PROFILES[a.words[0]], indent=1))
+    else:
+        raise ValueError("profiles list, or profiles show NAME")
+    return 0
+
+
 def run(argv=None) -> int:
     p = argparse.ArgumentParser(prog="gatewarden")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("validate").add_argument("policy")
-    sub.add_parser("resolve").add_argument("policy")
+    r = sub.add_parser("resolve")
+    r.add_argument("policy")
+    r.add_argument("--json", action="store_true")
     d = sub.add_parser("diff")
     d.add_argument("a")
     d.add_argument("b")
     d.add_argument("--check", action="store_true")
     d.add_argument("--json", action="store_true")
-    f = sub.add_parser("profiles")
-    f.add_argument("name", nargs="?")
+    sub.add_parser("profiles").add_argument("words", nargs="*")
     s = sub.add_parser("scan")
     s.add_argument("--policy", required=True)
     s.add_argument("--mode")
     s.add_argument("--format")
+    s.add_argument("--stdin-format", choices=("json", "jsonl", "sse", "text"), default="text")
     s.add_argument("--json", action="store_true")
     s.add_argument("paths", nargs="+")
-    sub.add_parser("doctor").add_argument("policy", nargs="?")
+    o = sub.add_parser("doctor")
+    o.add_argument("policy", nargs="?")
+    o.add_argument("--json", action="store_true")
     u = sub.add_parser("audit")
     u.add_argument("what", choices=("validate-manifest", "drift", "static"))
     u.add_argument("--root", default=".")
+    u.add_argument("--manifest")
     u.add_argument("--policy", action="append")
     u.add_argument("--policy-dir")
     u.add_argument("--include", action="append")
     u.add_argument("--exclude", action="append")
+    u.add_argument("--mode")
     u.add_argument("--strict", action="store_true")
-    u.add_argument("--format", choices=("text", "github", "sarif"), default="text")
+    u.add_argument("--quiet", action="store_true")
+    u.add_argument("--format", choices=("text", "github", "sarif", "json"), default="text")
     a = p.parse_args(argv)
     try:
         if a.command == "validate":
@@ -93,32 +148,14 @@ def run(argv=None) -> int:
             print("\n".join(map(str, errors)) or "valid")
             return int(bool(errors))
         if a.command == "resolve":
-            print(json.dumps(_document(a.policy), indent=1))
-        elif a.command == "diff":
+            doc = _document(a.policy)
+            print(json.dumps(doc) if a.json else json.dumps(doc, indent=1))
+            return 0
+        if a.command == "diff":
             entries = P.diff(_document(a.a), _document(a.b))
             print(json.dumps(entries) if a.json else P.diff_text(entries))
             return int(a.check and bool(entries))
-        elif a.command == "profiles":
-            print(json.dumps(P.PROFILES[a.name], indent=1) if a.name else "\n".join(P.PROFILES))
-        elif a.command == "doctor":
-            import pyspark
-
-            print(f"python {sys.version.split()[0]}, pyspark {pyspark.__version__}")
-            if a.policy:
-                P.Guard.from_policy(a.policy)
-        elif a.command == "scan":
-            from .sources.files import report_text, scan_files
-
-            guard = P.Guard.from_policy(a.policy, a.mode)
-            detail, summary = scan_files(_session(), a.paths, guard, a.format)
-            if a.json:
-                print(json.dumps({"summary": summary.first().asDict(), "violations": [r.asDict() for r in detail.collect()]}))
-            else:
-                print("\n".join(report_text(detail, summary, guard)))
-            return int(summary.first()["violations"] > 0)
-        else:
-            return _audit(a)
-        return 0
+        return {"profiles": _profiles, "doctor": _doctor, "scan": _scan, "audit": _audit}[a.command](a)
     except (OSError, KeyError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
