@@ -390,7 +390,12 @@ def _keyed(batches):
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row; text_hash, and group, a
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
+    return near_groups(docs, scratch).select("doc_id", "n_shingles", "component_id")
+
+
+def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The same with text_hash, which with the id tells rows apart, and group, a
     name of the component for texts with shingles, which tells components apart where no row has an id."""
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     spark = docs.sparkSession
@@ -412,4 +417,4 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     and stay, one for each id.
     """
     docs = docs.select(*COLUMNS)
-    found = ngram_join.near_duplicates(docs).where("group is not null")
+    found = ngram_join.near_groups(docs).where("group is not null")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = found.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = salted(found, first, "group", "text_hash").where(row != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
