@@ -38,7 +38,9 @@ LIST, LOCAL = 24, 64
 COSTS = (64, 1024)
 #: Nodes on a side of a tile.
 TILE = 128
-CHUNK_BYTES, FLUSH = 4 << 20, 2_000_000
+CHUNK_BYTES, FLUSH = 1 << 20, 2_000_000
+#: Pairs verified at a time, bytes of sets that a task keeps, bytes of a batch that goes to Python: texts may be long.
+PAIRS, KEPT_BYTES, BATCH_BYTES = 32, 32 << 20, 8 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -223,7 +225,8 @@ def _verify(batches):
     import pyarrow as pa
 
     kept: dict[int, np.ndarray] = {}
-    for batch in batches:
+    held = 0
+    for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, b.num_rows, PAIRS)):
         n = batch.num_rows
         got = {}
         for side in "ab":
@@ -231,6 +234,7 @@ def _verify(batches):
             new = {x: i for i, x in enumerate(names) if x not in kept}
             sets = shingle_sets(batch.column(f"t_{side}").take(pa.array(list(new.values()), pa.int64()))) if new else []
             kept.update(zip(new, sets))
+            held += sum(x.nbytes for x in sets)
             got[side] = names
         both = np.empty(n, np.int64)
         union = np.empty(n, np.int64)
@@ -244,8 +248,8 @@ def _verify(batches):
             union[i] = len(x) + len(y) - both[i]
             apart.append(np.setxor1d(x, y, assume_unique=True).tobytes() if star[i] else None)
         yield pa.RecordBatch.from_arrays([batch.column("k_a"), batch.column("k_b"), pa.array(both), pa.array(union), pa.array(apart, pa.binary())], names=["a", "b", "both", "all", "apart"])
-        if len(kept) > 20_000:
-            kept = {}
+        if held > KEPT_BYTES:
+            kept, held = {}, 0
 
 
 def _prefixes(posts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -399,13 +403,16 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     name of the component for texts with shingles, which tells components apart where no row has an id."""
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     spark = docs.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # texts may be long
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
     try:
         rows, links = jaccard_links(docs, scratch)
         comp = components(links.select("a", "b"), scratch, "last")
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     # components are sets of classes; each goes by the smallest id that any of its rows has, rows without shingles by their own
     sets = rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("low")).join(comp.select(F.col("node").alias("k1"), "component"), "k1", "left")
     sets = scratch.write(sets.select("k1", "low", F.coalesce("component", "k1").alias("component")), "sets")
