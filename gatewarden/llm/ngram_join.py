@@ -326,7 +326,8 @@ def jaccard_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     members = scratch.write(members.select("pivot", "key", "n", F.coalesce("component", "key").alias("component"), F.coalesce("apart", F.lit(b"")).alias("apart")), "members")
     parts = members.groupBy("pivot", "component").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main")).where("parts > 1")
     parts = parts.select("pivot", F.col("main.component").alias("main"), F.ceil(F.col("all") / TILE).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("main.m")) / TILE).cast("int").alias("n_left"))
-    rows_ = members.join(parts, "pivot")
+    # salted: rows dealt by pivot alone would also serve the tiles' groups, all of a pivot's in one task
+    rows_ = salted(members, parts, "pivot", "key")
     place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tiles = rows_.where("component <> main").select("pivot", place("n_left").alias("i"), upto("n_all").alias("j"), F.lit(0).alias("side"), "key", "n", "component", "apart")
