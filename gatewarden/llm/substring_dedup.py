@@ -34,7 +34,9 @@ SPAN = THRESHOLD - DIGIT
 LOCAL, GROUP = 64, 256
 #: Widths of the blocks of window starts into which large groups are split.
 SPLITS = (30, 6, 1)
-CHUNK, FLUSH = 4 << 20, 1_000_000
+CHUNK, FLUSH = 1 << 20, 1_000_000
+#: Windows that a task orders at a time (whole groups), members hashed at a time, bytes of a batch that goes to Python.
+LOT, MEMBERS, BATCH_BYTES = 1_000_000, 2048, 8 << 20
 DOC, POST = 0, 1
 #: Verdicts on an anchor of a text: settled, in a group that one task orders, in a larger group; PARTNER is
 #: added to a settled one that goes on for the sake of the others in its group.
@@ -78,7 +80,7 @@ def _first(n_buckets: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        # lots of marked anchors go wherever there is room: none of them needs another
+        # documents and lots of marked anchors go wherever there is room: none of them needs another
         aside_to = itertools.count(TaskContext.get().partitionId() * 7919)
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("key", pa.int64()), ("blob", pa.binary())])
         emit = lambda rows: pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
@@ -116,7 +118,7 @@ def _first(n_buckets: int):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 shas = [hashlib.sha256(part[a:b]).digest() for a, b in zip(at[:-1], at[1:])]
                 keys = np.array([int.from_bytes(s[:8], "little", signed=True) for s in shas], np.int64)
-                rows += [(int(np.uint64(k & (2**64 - 1)) % np.uint64(n_buckets)), DOC, d, int(b - a), s, k, None) for d, a, b, s, k in zip(ids[i:j], at[:-1], at[1:], shas, keys.tolist())]
+                rows += [(next(aside_to) % (1 << 30), DOC, d, int(b - a), s, k, None) for d, a, b, s, k in zip(ids[i:j], at[:-1], at[1:], shas, keys.tolist())]
                 pos, h, p = anchors(part, at)
                 row = np.searchsorted(at, pos, "right") - 1
                 fresh = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], bool)
@@ -258,15 +260,15 @@ def _windows(batches):
     core, key, pos, far, near = (t.column(c).to_numpy() for c in ("core", "key", "pos", "far", "near"))
     n = np.maximum(far - near + 1, 0)
     # groups share a core, so they may be taken in lots
-    lots = 1 + int(n.sum()) // 4_000_000
+    lots = 1 + int(n.sum()) // LOT
     lot = (core.view(np.uint64) >> np.uint64(7)) % np.uint64(lots)
     for q in range(lots):
         rows = np.flatnonzero(lot == q)
         if not len(rows):
             continue
         hashes, owner, start = [], [], []
-        for a in range(0, len(rows), 8192):
-            some = rows[a : a + 8192]
+        for a in range(0, len(rows), MEMBERS):
+            some = rows[a : a + MEMBERS]
             cut = np.concatenate([np.arange(off[i], off[i + 1]) for i in some])
             base = np.r_[0, np.cumsum(off[some + 1] - off[some])]
             p = prefix_hash(ctx[cut])
@@ -381,17 +383,19 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
 
 class small_batches:
-    """Arrow batches of few rows while eager steps run: texts may be long."""
+    """Arrow batches of few rows and bytes while eager steps run: texts may be long."""
 
     def __init__(self, spark, rows: int = 512):
-        self.spark, self.rows, self.name = spark, rows, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        self.spark, self.limits = spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
     def __enter__(self):
-        self.before = self.spark.conf.get(self.name)
-        self.spark.conf.set(self.name, str(self.rows))
+        self.before = {k: self.spark.conf.get(k) for k in self.limits}
+        for k, v in self.limits.items():
+            self.spark.conf.set(k, str(v))
 
     def __exit__(self, *_):
-        self.spark.conf.set(self.name, self.before)
+        for k, v in self.before.items():
+            self.spark.conf.set(k, v)
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
