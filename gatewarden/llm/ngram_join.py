@@ -20,6 +20,8 @@ gives no rows; only doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,10 +122,13 @@ DOC, POST, LONG, SIZE = range(4)
 def _deal(n_buckets: int):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("n_in", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("blob", pa.binary())])
         emit = lambda rows: pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
         toks, keys, held, seen = [], [], 0, set()
+        # documents go wherever there is room, copies too: only postings need each other
+        place = itertools.count(TaskContext.get().partitionId() * 7919)
 
         def flush():
             t, k = np.concatenate(toks), np.concatenate(keys)
@@ -154,7 +159,7 @@ def _deal(n_buckets: int):
             for doc_id, h, s in zip(ids, hashes, shingle_sets(batch.column("text"))):
                 k1, k2 = set_key(s)
                 n_in = int(np.searchsorted(s, np.uint64(POSTED)))
-                rows.append((int(np.uint64(k1 & (2**64 - 1)) % np.uint64(n_buckets)), DOC, doc_id, h, len(s), n_in, k1, k2, None))
+                rows.append((next(place) % (1 << 30), DOC, doc_id, h, len(s), n_in, k1, k2, None))
                 if len(s) and k1 not in seen:
                     seen.add(k1)
                     s = s[: max(n_in, prefix_size(len(s)))]
